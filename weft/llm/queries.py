@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .pieces import op6_pieces
 from .simhash import op7_simhash
+from .token_files import op5_token_files
 
-QUERIES = {"op7_simhash": op7_simhash}
+QUERIES = {
+    "op5_token_files": op5_token_files,
+    "op6_pieces": op6_pieces,
+    "op7_simhash": op7_simhash,
+}
 
 #: DuckDB SQL where SQL can express the query.
 ORACLE: dict[str, str] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .pieces import op6_pieces
+from .secrets import op9_secrets
 from .simhash import op7_simhash
 from .token_files import op5_token_files
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_pieces": op6_pieces,
     "op7_simhash": op7_simhash,
+    "op9_secrets": op9_secrets,
 }
 
 #: DuckDB SQL where SQL can express the query.

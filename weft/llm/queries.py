@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .language import op3_language
 from .pieces import op6_pieces
 from .secrets import op9_secrets
 from .simhash import op7_simhash
 from .token_files import op5_token_files
 
 QUERIES = {
+    "op3_language": op3_language,
     "op5_token_files": op5_token_files,
     "op6_pieces": op6_pieces,
     "op7_simhash": op7_simhash,

@@ -56,11 +56,12 @@ def _steps(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chain(words: list[str]) -> np.ndarray:
-    """Log-probabilities of the steps, each backed off to the step from one character and to an even choice."""
+    """Log-probabilities of the steps, each backed off to the step from one character and to the share of the character."""
     steps, _ = _steps(words)
     three = np.bincount(steps, minlength=SIZE**3).reshape(SIZE, SIZE, SIZE).astype(np.float64)
     two = three.sum(axis=0)
-    low = (two + 2.0 / SIZE) / (two.sum(axis=1, keepdims=True) + 2.0)
+    one = (two.sum(axis=0) + 0.5) / (two.sum() + 0.5 * SIZE)
+    low = (two + 4.0 * one) / (two.sum(axis=1, keepdims=True) + 4.0)
     return np.log((three + 8.0 * low) / (three.sum(axis=2, keepdims=True) + 8.0)).reshape(-1).astype(np.float32)
 
 

@@ -7,8 +7,10 @@ from .pieces import op6_pieces
 from .secrets import op9_secrets
 from .simhash import op7_simhash
 from .token_files import op5_token_files
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_language": op3_language,
     "op5_token_files": op5_token_files,
     "op6_pieces": op6_pieces,

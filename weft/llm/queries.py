@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
 from .language import op3_language
 from .pieces import op6_pieces
 from .secrets import op9_secrets
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_pieces": op6_pieces,
     "op7_simhash": op7_simhash,
     "op9_secrets": op9_secrets,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: DuckDB SQL where SQL can express the query.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .decontaminate import op10_decontaminate
 from .language import op3_language
+from .lines import SQL as LINES
+from .lines import op2_line_dedup
 from .pieces import op6_pieces
 from .secrets import op9_secrets
 from .simhash import op7_simhash
@@ -12,6 +14,7 @@ from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_language": op3_language,
     "op5_token_files": op5_token_files,
     "op6_pieces": op6_pieces,
@@ -21,4 +24,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL where SQL can express the query.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_line_dedup": LINES}

@@ -6,6 +6,7 @@ from .decontaminate import op10_decontaminate
 from .language import op3_language
 from .lines import SQL as LINES
 from .lines import op2_line_dedup
+from .neighbours import op8_neighbours
 from .pieces import op6_pieces
 from .secrets import op9_secrets
 from .simhash import op7_simhash
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_pieces": op6_pieces,
     "op7_simhash": op7_simhash,
+    "op8_neighbours": op8_neighbours,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
 }

@@ -10,6 +10,7 @@ from .neighbours import op8_neighbours
 from .pieces import op6_pieces
 from .secrets import op9_secrets
 from .simhash import op7_simhash
+from .token_counts import op4_token_counts
 from .token_files import op5_token_files
 from .toxicity import op1_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op3_language": op3_language,
+    "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_pieces": op6_pieces,
     "op7_simhash": op7_simhash,

@@ -567,8 +567,9 @@ def _single(v: One) -> Many:
     return Many(F.when(v.present, body).otherwise(F.filter(body, lambda x: F.lit(False))) if v.opt else body, lambda x: (view(sure, x), {}), label=v.label)
 
 
-def condition(v: Any, frame: Frame | None) -> Column:
-    """Whether a predicate holds: any of its values is true."""
+def condition(v: Any, frame: Frame | None, where: bool = False) -> Column:
+    """Whether a predicate holds: any of its values is true. where: null may stand for false, as in a row filter, where
+    a plain comparison can reach the scan."""
     if isinstance(v, (Flow, Table)):
         flow = v.open(frame, {}) if isinstance(v, Table) else v
         if not isinstance(flow.val.type, (T.BooleanType, type(None))):
@@ -580,7 +581,8 @@ def condition(v: Any, frame: Frame | None) -> Column:
         if isinstance(probe, One) and isinstance(probe.type, T.BooleanType):
             return F.coalesce(F.exists(v.col, lambda x: v.of(x)[0].col), F.lit(False))
     elif isinstance(v.type, (T.BooleanType, T.NullType)) or (v.type is None and v.fields is None and v.root is None):
-        return F.coalesce(v.col.cast("boolean"), F.lit(False)) if v.opt else v.col
+        col = v.col if isinstance(v.type, T.BooleanType) else v.col.cast("boolean")
+        return F.coalesce(col, F.lit(False)) if v.opt and not where else col
     raise QueryError("expected a predicate")
 
 
@@ -819,7 +821,7 @@ def filtered(q: Query, flow: Flow, source: Any) -> Flow:
                         continue
         flow = local(flow, names_of(part))
         before = flow.frame
-        cond = condition(evaluate(part, flow.val, flow.ctx, flow.frame), flow.frame)
+        cond = condition(evaluate(part, flow.val, flow.ctx, flow.frame), flow.frame, where=True)
         flow = narrowed(replace(flow, frame=before), cond)
     return flow
 

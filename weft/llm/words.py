@@ -51,9 +51,3 @@ class Words(dict):
 
 def hash64(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-
-
-def hashed(parts: list[str], bits: int, seed: int = 0) -> np.ndarray:
-    """A bucket of 2**bits for each part."""
-    digest, mask = xxhash.xxh64_intdigest, (1 << bits) - 1
-    return np.fromiter((digest(p.encode("utf-8", "surrogatepass"), seed) & mask for p in parts), np.int64, len(parts))

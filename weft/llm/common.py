@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one slice of a batch holds, so that a worker's memory does not depend on the rows of an Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +50,16 @@ def with_nulls(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("string")) if dict(df.dtypes)[column] == "void" else df
 
 
+def release() -> None:
+    """Gives memory that a worker's last task has freed back to the system: workers serve one stage after the other."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in order, in slices of about SLICE_BYTES of the text in that column, whole rows each."""
+    release()
     for batch in batches:
         start, held = 0, 0
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
@@ -68,6 +77,17 @@ def texts_of(batch: pa.RecordBatch, column: int) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def sampled(rows: DataFrame, most: int, column: str = "id", text: str = "text") -> list[str]:
+    """At most so many texts of rows, those of the least hashes of the ids. The hashes alone decide which, so that no
+    task sends more texts to the driver than are taken."""
+    hashed = rows.select(F.xxhash64(column).alias("h"), text)
+    last = hashed.select("h").orderBy("h").limit(most).agg(F.max("h").alias("h")).head().h
+    if last is None:
+        return []
+    taken = hashed.where(F.col("h") <= last).limit(2 * most).collect()  # ties of one hash are not all needed
+    return [r[1] or "" for r in sorted(taken, key=lambda r: (r[0], r[1] or ""))[:most]]
+
+
 def held_out(id_column: str, parts: int, part: int):
     """Whether crc32 of the id as text leaves this remainder; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % parts == part, F.lit(False))

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words in a worker's table; when it is full it begins anew, between texts.
-ENTRIES = 500_000
+ENTRIES = 250_000
 
 
 class Words(dict):

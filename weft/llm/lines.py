@@ -89,7 +89,8 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     near = pairs.join(later, "first").join(earlier, "other").where("levenshtein(line, model, 1) between 0 and 1")
     near = near.select("h1", "h2", F.col("other").alias("first"))
 
-    goes = repeats.unionByName(near).groupBy("h1", "h2").agg(F.min("first").alias("least"))
+    # written, so that the join is not bound to the aggregate's partitions and a very common line can be split
+    goes = written(repeats.unionByName(near).groupBy("h1", "h2").agg(F.min("first").alias("least")), "line-drops")
     return seen.join(goes, ["h1", "h2"]).where("at > least").select("at.id", "at.t", "at.pos").distinct()
 
 

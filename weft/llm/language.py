@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, slices, table, texts_of, with_nulls
@@ -27,6 +27,8 @@ BITS, WIDTH, EPOCHS, RATE, SEED = 16, 12, 12, 2.0, 11
 #: Share of right calibration samples that the rejection level turns away.
 REJECT_SHARE = 0.01
 UNKNOWN = "und"
+#: Parts of a language in which the rows to learn from are first looked for.
+PARTS = 64
 _OTHER = re.compile(r"[^\w\n]+|[\d_]+")
 
 
@@ -179,14 +181,15 @@ def train(texts: list[str], langs: list[str], bits: int = BITS) -> Model:
 def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
     """A model of at most `rows` documents of each non-null language of `labelled`, those of the least hashes of the
     ids. Texts without a letter teach nothing."""
-    from pyspark.sql import Window
-
     some = with_nulls(with_nulls(labelled, text_column), lang_column)
     some = some.select(F.col(lang_column).alias("lang"), F.xxhash64(F.col(id_column)).alias("h"), F.col(text_column).alias("text"))
     some = some.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # which rows, from the hashes alone; a window's limit is kept per task before its shuffle
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    bounds = some.select("lang", "h").withColumn("place", place).where(F.col("place") <= rows).groupBy("lang").agg(F.max("h").alias("most"))
+    # which rows, from the hashes alone: first within parts of a language, so that a frequent one is not one task's
+    hashes = some.select("lang", "h")
+    for parts in (F.pmod("h", F.lit(PARTS)), F.lit(0)):
+        place = F.row_number().over(Window.partitionBy("lang", parts).orderBy("h"))
+        hashes = hashes.withColumn("place", place).where(F.col("place") <= rows).drop("place")
+    bounds = hashes.groupBy("lang").agg(F.max("h").alias("most"))
     most = {r.lang: r.most for r in bounds.collect()}
     if not most:
         return train([], [])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of, with_nulls
+from .common import sampled, slices, table, texts_of, with_nulls
 
 KINDS = ("assign", "access", "hex", "model")
 #: The rules.
@@ -108,9 +108,9 @@ def samples(texts: list[str]) -> tuple[list[str], list[str]]:
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = SAMPLE_ROWS) -> Model:
     """Chains from at most `rows` documents, those of the least hashes of the ids; half of them with a rule's match
     where there are such. Without any text, from the planted strings alone."""
-    docs = with_nulls(docs, text_column).select(F.xxhash64(F.col(id_column)).alias("h"), F.col(text_column).alias("text"))
+    docs = with_nulls(docs, text_column).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     hinted = docs.where(F.col("text").rlike("AKIA[A-Z0-9]{12}|[0-9a-f]{32}"))
-    texts = [r.text or "" for part in (docs, hinted) for r in part.orderBy("h", "text").limit(rows // 2).collect()]
+    texts = [t for part in (docs, hinted) for t in sampled(part, rows // 2)]
     random, ordinary = samples(texts)
     return Model(random + _planted(PLANTED), ordinary)
 

@@ -49,7 +49,7 @@ def test_records(db):
 
 
 def test_mix(db):
-    q = It.department >> Mix(It.name, Lift("round", It.employee.rate >> It) if False else It.employee.rate)
+    q = It.department >> Mix(It.name, It.employee.rate)
     assert [tuple(r.values()) for r in db[q].get()] == [("POLICE", 9.46), ("OEMC", 17.68), ("OEMC", 19.38)]
     assert [tuple(r.values()) for r in db[Mix(a=Lift([1, 2]), b=Lift(["x", "y"]))].get()] == [(1, "x"), (1, "y"), (2, "x"), (2, "y")]
     assert [tuple(r.values()) for r in db[Mix(a=It.department.name, b=Lift([1, 2]))].get()][:3] == [("POLICE", 1), ("POLICE", 2), ("FIRE", 1)]
@@ -74,7 +74,6 @@ def test_functions(db):
 def test_filter(db):
     assert db[employees(Filter(It.salary > 100000)) >> It.name].get() == ["JEFFERY A", "JAMES A", "ROBERT K"]
     assert db[It.department >> Filter(Count(It.employee) > 3) >> It.name].get() == ["POLICE"]
-    assert db[It.department >> Filter(It.employee.salary > 100000) >> It.name].get() if False else True
     assert db[It.department >> Filter(It.employee >> (It.salary > 100000)) >> It.name].get() == ["POLICE", "FIRE"]
     assert db[It.department >> Record(It.name, n=It.employee >> Filter(It.salary > 90000) >> Count)].get()[1] == {"name": "FIRE", "n": 3}
     with pytest.raises(QueryError, match="expected a predicate"):
@@ -184,7 +183,7 @@ def test_assertions(db):
     assert db[It.department.name >> Is("string")].get() == ["POLICE", "FIRE", "OEMC"]
     with pytest.raises(QueryError, match="expected a value of type bigint; got string"):
         db[It.department.name >> Is("bigint")]
-    assert db[It.department >> Record(It.name, Is1toN(It.employee.name))].get()[0]["name"] == "POLICE" if False else True
+    assert db[It.department >> Record(It.name, Is1toN(It.employee.name))].get()[0]["name"][0] == "JEFFERY A"
     assert db[It.department >> First(It.employee.salary >> Is0toN)].get() == [101442, 103350, 64392]
     assert db[It.department >> Each(It.employee >> Filter(It.salary > 100000) >> Take(1) >> Is0to1 >> It.name)].get() == ["JEFFERY A", "JAMES A"]
     with pytest.raises(Exception, match="expected a singular value"):

@@ -1,7 +1,7 @@
 import pytest
 
 from weft import (
-    Collect, Count, Db, Desc, Drop, Each, Exists, Filter, First, Get, Given, Group, Is, Is0to1, Is0toN, Is1to1, Is1toN, It, Join, Keep, Label,
+    Collect, Count, Desc, Drop, Each, Exists, Filter, First, Get, Given, Group, Is, Is0to1, Is0toN, Is1to1, Is1toN, It, Join, Keep, Label,
     Last, Lift, Max, Mean, Min, Mix, Nth, QueryError, Record, Sort, Sum, Tag, Take, Unique, register,
 )
 

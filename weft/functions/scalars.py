@@ -77,6 +77,7 @@ FUNCTIONS: dict[str, Function] = {
     "contains": Function(lambda a, b: F.contains(a, b), BOOL),
     "replace": Function(lambda a, b, c: F.replace(a, b, c), TEXT),
     "split": Function(lambda a, b: F.split(a, F.concat(F.lit(r"\Q"), b, F.lit(r"\E"))), T.ArrayType(TEXT)),
+    "length": Function(lambda a: F.length(a).cast("bigint"), LONG),
     "isodd": Function(lambda a: a % 2 != 0, BOOL),
     "iseven": Function(lambda a: a % 2 == 0, BOOL),
     "trunc": Function(lambda a: a.cast("bigint"), LONG),
@@ -88,6 +89,7 @@ FUNCTIONS: dict[str, Function] = {
     "year": Function(lambda a: F.year(a).cast("bigint"), LONG),
     "month": Function(lambda a: F.month(a).cast("bigint"), LONG),
     "date": Function(lambda a: a.cast("date"), T.DateType()),
+    "ismissing": Function(lambda a: a.isNull(), BOOL),
     "coalesce": Function(lambda *a: F.coalesce(*a), _wider),
     "in": Function(lambda a, xs: F.array_contains(xs, a), BOOL, arrays=True),
     "parse_map": Function(lambda a: F.from_json(a, "map<string,bigint>"), T.MapType(TEXT, LONG), partial=True),
@@ -131,12 +133,8 @@ def _round(cols, kinds):
 
 TYPED |= {"+": _plus, "*": _times, "-": _minus, "div": _div, "÷": _div, "^": _pow, "round": _round}
 
-#: Absence is a value to these: they see null.
-SEES_NULL = {"ismissing", "coalesce", "&", "|"}
-FUNCTIONS["ismissing"] = Function(lambda a: a.isNull(), BOOL)
 #: Names that mean an aggregate when their one argument is plural.
 AGGREGATES = {"mean": "mean", "sum": "sum", "length": "count", "count": "count", "maximum": "max", "minimum": "min", "first": "first", "last": "last"}
-FUNCTIONS["length"] = Function(lambda a: F.length(a).cast("bigint"), LONG)
 
 
 @dataclass(frozen=True)

@@ -23,11 +23,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import AGGREGATES, BOOL, DOUBLE, FUNCTIONS, LONG, REGISTERED, SEES_NULL, TYPED
+from ..functions.scalars import AGGREGATES, BOOL, DOUBLE, FUNCTIONS, LONG, REGISTERED, TYPED
 from ..operators.query import Query, QueryError, as_query
 from .shape import CARDS, MANY, ONE, OPT, SOME, Card, Shape, ordinal
 

@@ -8,7 +8,6 @@ log-likelihood ratio of the chains per character. The threshold comes from sampl
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shared_dir, slices, table, texts_of, with_nulls
+from .common import sampled, shared_dir, slices, table, texts_of, with_nulls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 MAGIC = b"WEFTIDS1"
@@ -42,8 +42,10 @@ SAMPLE, DICTIONARY_BYTES = 500, 64 << 10
 #: Text of a shard, roughly: a shard is held in memory while it is written.
 SHARD_BYTES = 16 << 20
 #: Entries of a worker's table of chunks.
-ENTRIES = 800_000
+ENTRIES = 1_000_000
 NO_ID = -(1 << 63)
+#: Characters that the pattern takes as one word after letters; no apostrophe, which may begin a word of its own.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Before a single space or newline between other characters the tokenizer's pattern always begins a new word.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -58,12 +60,27 @@ class Chunks(dict):
         self.library = Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = True
         self.entries = entries
+        self.merges, self.tails = self.library.model.tokenize, {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow 255
+        hidden = sorted({*range(256)} - {*shown})
+        self.symbols = {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
 
     def __missing__(self, word: str) -> bytes | None:
         if len(self) >= self.entries:
             self.clear()
-        self[word] = out = None if not word or word[0].isspace() or word[-1].isspace() else self._encode(f" {word}")
+        if word.isalpha():  # one word of the pattern with its space: straight to the library's merges
+            symbols = f" {word}".encode().decode("latin-1").translate(self.symbols)
+            out = np.array([t.id for t in self.merges(symbols)], dtype=self.kind).tobytes()
+        elif not word or word[0].isspace() or word[-1].isspace():
+            out = None
+        elif (core := word.rstrip(TAIL)) != word and core.isalpha():  # two words of the pattern
+            if (end := self.tails.get(tail := word[len(core) :])) is None:
+                end = self.tails[tail] = self._encode(tail)
+            out = self[core] + end
+        else:
+            out = self._encode(f" {word}")
+        self[word] = out
         return out
 
     def _encode(self, text: str) -> bytes:
@@ -140,8 +157,7 @@ def write(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
     spark = docs.sparkSession
     docs = with_nulls(docs, text_column)
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"))
-    some = rows.where("length(text) > 0").orderBy(F.xxhash64("id"), "id", "text").limit(SAMPLE)
-    dictionary = train_dictionary([r.text for r in some.collect()], vocabulary)
+    dictionary = train_dictionary(sampled(rows.where("length(text) > 0"), SAMPLE), vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = chunks(vocabulary)
@@ -176,18 +192,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids array<int>) of every document in the files under path."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").head().dictionary)
     shards = spark.read.parquet(f"{path}/shards")
-    # a number for each shard goes to the driver, nothing for each document
-    base, starts = 0, []
-    for place, tokens in sorted((r.place, r.tokens) for r in shards.select("place", "tokens").collect()):
-        starts.append((place, base))
-        base += tokens
-    bases = spark.createDataFrame(starts, "at long, base long")
+    # a number for each shard goes to the driver and back, nothing for each document
+    totals = sorted((r.place, r.tokens) for r in shards.select("place", "tokens").collect())
+    bases = dict(zip([p for p, _ in totals], np.cumsum([0, *(n for _, n in totals)]).tolist(), strict=False))
+    shared = spark.sparkContext.broadcast(bases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for place, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = Shard(data.as_py(), dictionary)
-                start = base + np.concatenate([[0], np.cumsum(own.counts)[:-1]])
+                start = shared.value[place] + np.concatenate([[0], np.cumsum(own.counts)[:-1]])
                 for at in range(0, len(own.doc_ids), 2048):
                     some = range(at, min(at + 2048, len(own.doc_ids)))
                     ids = [own.document(k).astype("<u4") for k in some]
@@ -197,8 +211,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     crcs = [zlib.crc32(x.tobytes()) for x in ids]
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start[some.start : some.stop]), pa.array([len(x) for x in ids], pa.int64()), pa.array(crcs, pa.int64()), values], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    joined = shards.join(bases, shards["place"] == bases["at"]).select("base", "data")
-    return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return shards.select("place", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,19 @@ def test_byte_chunks_equal_the_library():
     check()
 
 
+def test_byte_chunks_at_line_ends():
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    own = token_files.Chunks(token_files.VOCABULARY, entries=5)
+
+    @settings(max_examples=800, deadline=None)
+    @given(st.lists(st.sampled_from(["the", "Der.", "é", "'s", "x1", "12", "\n", "\n\n", " ", "  ", "!!", "\t", "Ωmega", "漢字", "don't"]), max_size=14).map("".join))
+    def check(t):
+        assert own.ids(t) == whole.encode(t, add_special_tokens=False).ids, t
+
+    check()
+
+
 def test_a_full_table_begins_anew():
     own = pieces.Chunks(pieces.MODEL, entries=3)
     assert own.ids("a b c d e f g a b") == own.library.encode("a b c d e f g a b")
@@ -79,6 +92,8 @@ def test_files_round_trip(spark, tmp_path):
     assert [r.doc_id if r.doc_id is not None else -1 for r in got] == [i for i, _ in want]
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
     assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.n_tokens == len(r.ids) for r in got)
+    digest = token_files.read(spark, path, with_ids=False).orderBy("start").collect()
+    assert [tuple(r) for r in digest] == [tuple(r)[:4] for r in got]
     with pytest.raises(ValueError, match="another dictionary"):
         token_files.Shard(spark.read.parquet(f"{path}/shards").head().data, dictionary + b"x")
 

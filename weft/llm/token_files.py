@@ -44,6 +44,8 @@ SHARD_BYTES = 16 << 20
 #: Entries of a worker's table of chunks.
 ENTRIES = 1_000_000
 NO_ID = -(1 << 63)
+#: Letters before this are letters in every version of the character tables.
+OLD = "\u0530"
 #: Characters that the pattern takes as one word after letters; no apostrophe, which may begin a word of its own.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Before a single space or newline between other characters the tokenizer's pattern always begins a new word.
@@ -51,35 +53,42 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 class Chunks(dict):
-    """Word after a single space -> ids of the space and the word, as the library gives them, packed. The tokenizer's pattern
-    begins a new word there whatever stands around, so the ids of a text are those of its parts in a row. None: the
-    space touches other white space, and the text is cut by the pattern instead."""
+    """Word after `lead` (a space, or nothing) -> ids of both, as the library gives them, packed. The tokenizer's pattern
+    begins a new word at a single space, and before and after a single line end, whatever stands around, so the ids of a
+    text are those of its parts in a row. None: white space touches white space, and the pattern cuts the text instead."""
 
-    def __init__(self, vocabulary: str, entries: int = ENTRIES):
+    def __init__(self, vocabulary: str, entries: int = ENTRIES, lead: str = " ", library: Tokenizer | None = None):
         super().__init__()
-        self.library = Tokenizer.from_file(vocabulary)
+        self.library = library or Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = True
-        self.entries = entries
+        self.entries, self.lead = entries, lead
         self.merges, self.tails = self.library.model.tokenize, {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow 255
         hidden = sorted({*range(256)} - {*shown})
         self.symbols = {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.bare = Chunks(vocabulary, max(1, entries // 8), "", self.library) if lead else self
+        self.line_end = self._encode("\n")
 
     def __missing__(self, word: str) -> bytes | None:
         if len(self) >= self.entries:
             self.clear()
-        if word.isalpha():  # one word of the pattern with its space: straight to the library's merges
-            symbols = f" {word}".encode().decode("latin-1").translate(self.symbols)
+            self.tails.clear()
+        if word.isalpha() and max(word) < OLD:  # one word of the pattern: straight to the library's merges
+            symbols = f"{self.lead}{word}".encode().decode("latin-1").translate(self.symbols)
             out = np.array([t.id for t in self.merges(symbols)], dtype=self.kind).tobytes()
         elif not word or word[0].isspace() or word[-1].isspace():
             out = None
+        elif "\n" in word:  # lines; not kept, as hardly any comes again
+            first, *rest = word.split("\n")
+            parts = [self[first], *map(self.bare.__getitem__, rest)]
+            return None if None in parts else self.line_end.join(parts)
         elif (core := word.rstrip(TAIL)) != word and core.isalpha():  # two words of the pattern
             if (end := self.tails.get(tail := word[len(core) :])) is None:
                 end = self.tails[tail] = self._encode(tail)
             out = self[core] + end
         else:
-            out = self._encode(f" {word}")
+            out = self._encode(f"{self.lead}{word}")
         self[word] = out
         return out
 
@@ -88,13 +97,13 @@ class Chunks(dict):
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian numbers of the kind that the vocabulary needs."""
+        if not text:
+            return b""
         first, *words = text.split(" ")
-        if first and not first[-1].isspace():
-            try:
-                return self._encode(first) + b"".join(map(self.__getitem__, words))
-            except TypeError:
-                pass
-        return b"".join(map(self._encode, _CUT.split(text))) if text else b""
+        try:
+            return self.bare[first] + b"".join(map(self.__getitem__, words))
+        except TypeError:  # a part is None
+            return b"".join(map(self._encode, _CUT.split(text)))
 
     def ids(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), self.kind).tolist()
@@ -188,14 +197,16 @@ def write(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
     return dictionary
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids array<int>) of every document in the files under path."""
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids array<int>) of every document in the files under path; the ids are read
+    in any case, and left out of the rows without with_ids."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").head().dictionary)
     shards = spark.read.parquet(f"{path}/shards")
     # a number for each shard goes to the driver and back, nothing for each document
     totals = sorted((r.place, r.tokens) for r in shards.select("place", "tokens").collect())
     bases = dict(zip([p for p, _ in totals], np.cumsum([0, *(n for _, n in totals)]).tolist(), strict=False))
     shared = spark.sparkContext.broadcast(bases)
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,15 +217,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     some = range(at, min(at + 2048, len(own.doc_ids)))
                     ids = [own.document(k).astype("<u4") for k in some]
                     doc_ids = [None if i == NO_ID else i for i in own.doc_ids[some.start : some.stop].tolist()]
-                    offsets = np.cumsum([0, *map(len, ids)])
-                    values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).view("<i4")))
-                    crcs = [zlib.crc32(x.tobytes()) for x in ids]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start[some.start : some.stop]), pa.array([len(x) for x in ids], pa.int64()), pa.array(crcs, pa.int64()), values], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    columns = [pa.array(doc_ids, pa.int64()), pa.array(start[some.start : some.stop]), pa.array([len(x) for x in ids], pa.int64())]
+                    columns.append(pa.array([zlib.crc32(x) for x in ids], pa.int64()))
+                    if with_ids:
+                        offsets = np.cumsum([0, *map(len, ids)])
+                        columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).view("<i4"))))
+                    yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
-    return shards.select("place", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return shards.select("place", "data").mapInArrow(run, kinds)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "documents"), path)
-    return read(spark, path).drop("ids")
+    return read(spark, path, with_ids=False)

@@ -80,3 +80,46 @@ def test_query_and_stage(spark, tmp_path):
     assert {r.doc_id: set(r.item_ids) for r in out} == truth
     kept = dc.stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert {r.doc_id for r in kept.collect()} == {d for d, t in truth.items() if not t}
+
+
+def test_edited_copies_however_many_there_are(spark):
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(40))) for i in range(6)]
+    docs, truth = [], {}
+
+    def put(item, step, times):  # each word at a multiple of the step is another one: 20 to 25 % for steps of 5 and 4
+        copy = [f"e{k}" if step and k % step == 1 else w for k, w in enumerate(items[item][1].split())]
+        for _ in range(times):
+            around = [str(w) for w in rng.choice(500, 60)]
+            truth[len(docs)] = {item}
+            docs.append((len(docs), " ".join(around[:30] + copy + around[30:])))
+
+    put(0, 4, 1)  # alone
+    put(1, 4, 1), put(1, 0, 1)  # beside a whole copy
+    put(2, 4, 50), put(2, 0, 1)  # a group of equal edited copies
+    put(3, 5, 1), put(3, 0, 40)
+    put(4, 4, 30)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: {m.item_id for m in r.matches} for r in dc.annotate(df, bench).collect()} == truth
+
+
+def test_equals_alignment_with_every_item_at_a_fifth_to_three_tenths_edited(monkeypatch):
+    rng = np.random.default_rng(6)
+    items = [(i, " ".join(f"w{k}" for k in rng.integers(0, 200, rng.integers(20, 50)))) for i in range(20)]
+    index = dc.Index(items)
+    texts = []
+    for k in range(120):
+        copy = index.words[k % 20].copy()
+        edit = rng.random(len(copy)) < (0.2, 0.25, 0.3)[k % 3]
+        copy[edit] = dc.word_hashes([f"w{j}" for j in rng.integers(0, 2000, edit.sum())])
+        around = dc.word_hashes([f"w{j}" for j in rng.integers(0, 2000, 60)])
+        texts.append(np.r_[around[:30], copy, around[30:]])
+    want = set()
+    for i, item in enumerate(index.words):
+        score, _ = dc.align([item] * len(texts), texts)
+        want |= {(t, i) for t in np.flatnonzero(score >= dc.THRESHOLD * dc.MATCH * len(item)).tolist()}
+    sizes = np.array([len(t) for t in texts])
+    found = dc.find(index, np.concatenate(texts), sizes)
+    assert {(t, i) for t, i, *_ in found} == want and len(want) > 90
+    monkeypatch.setattr(dc, "HITS", 50)
+    assert sorted(dc.find(index, np.concatenate(texts), sizes)) == sorted(found)

@@ -1,9 +1,9 @@
-"""Benchmark passages in training texts: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark passages in training texts: n-gram seeds, then Smith-Waterman alignment.
 
-A first pass over all documents counts in how many each word n-gram of the benchmark comes. An item's rare seeds are
-those of its n-grams that are no more frequent than the middle one; that holds however often the item itself was
-copied. A second pass looks the rare seeds up in each whole text, aligns the item with the words around them, and
-keeps alignments whose score is a share of the item's best possible one. Both passes go by rows and move no text.
+One pass over all documents looks every word n-gram of the benchmark up in each whole text, however frequent it is: an
+edited copy may keep any of them. Where the words around the seeds could still reach the score, the item is aligned
+with them, and alignments whose score is a share of the item's best possible one are kept. The pass goes by rows and
+moves no text.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ SEED_WORDS, THRESHOLD = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Benchmark text that is indexed and sent to the executors at once; a larger benchmark goes in several blocks.
 BLOCK_BYTES = 8 << 20
-#: Cells of alignments done together.
-CELLS = 1 << 19
+#: Cells of alignments done together, and seeds (of whole texts) looked at together.
+CELLS, HITS = 1 << 19, 1 << 20
 _OTHER = re.compile(r"[^\w\n]+|_+")
 _WORD = re.compile(r"\S+")
 
@@ -45,6 +45,12 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _owned(hashes: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """A hash of each word together with its item."""
+    out = (hashes ^ (items.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ out >> np.uint64(29)
+
+
 class Index:
     """The n-grams of a block of benchmark items."""
 
@@ -66,6 +72,8 @@ class Index:
             own = rows[:, rows[1] == length]
             own = own[:, np.argsort(own[0].view(np.uint64), kind="stable")]
             self.by[length] = self._table(own)
+        owned = [_owned(w, np.full(len(w), k)) for k, w in enumerate(self.words)]
+        self.owned = np.unique(np.concatenate(owned)) if owned else np.zeros(0, np.uint64)
 
     @staticmethod
     def _table(own: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -83,19 +91,12 @@ class Index:
         real = keys[place] == g[at]
         return at[real], place[real]
 
-    def keep_rare(self, counts: dict[tuple[int, int], int]) -> None:
-        """Leaves of each item the n-grams that are in no more documents than its middle one. counts: by length and
-        place of the n-gram."""
-        for length in self.lengths:
-            keys, _, each, item, position, _ = self.by[length]
-            df = np.array([counts.get((length, k), 0) for k in range(len(keys))], np.int64)
-            own = np.stack([np.repeat(keys, each).view(np.int64), np.repeat(df, each), item, position])
-            keep = np.zeros(own.shape[1], bool)
-            for k in np.unique(item):
-                mine = np.flatnonzero(item == k)
-                keep[mine] = own[1, mine] <= np.sort(own[1, mine])[(len(mine) - 1) // 2]
-            own[1] = length
-            self.by[length] = self._table(own[:, keep])
+    def common(self, items: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
+        """How many words of each window its item has: no alignment of both matches more."""
+        sizes = np.array([len(w) for w in windows], np.int64)
+        owned = _owned(np.concatenate(windows), np.repeat(items, sizes))
+        place = np.minimum(np.searchsorted(self.owned, owned), len(self.owned) - 1)
+        return np.diff(np.cumsum(np.r_[0, self.owned[place] == owned])[np.cumsum(np.r_[0, sizes])])
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,17 +138,33 @@ def find(index: Index, hashes: np.ndarray, sizes: np.ndarray, threshold: float =
     """(text, item, share of the item's score, first and last word) of the best alignment of each item that a text
     shares a seed with, if it reaches the threshold. hashes: of the words of all texts in a row."""
     begins = np.cumsum(np.r_[0, sizes])
-    rows = []
+    seeds, load = [], np.zeros(len(sizes), np.int64)
     for length in index.lengths:
-        keys, first, counts, item, position, _ = index.by[length]
         at, place = index.found(hashes, length)
         text = np.searchsorted(begins, at, side="right") - 1
         inside = at + length <= begins[text + 1]
         at, place, text = at[inside], place[inside], text[inside]
+        seeds.append((length, at, place, text))
+        load += np.bincount(text, index.by[length][2][place], minlength=len(sizes)).astype(np.int64)
+    turn = np.cumsum(load) // HITS
+    cuts = np.r_[np.flatnonzero(np.r_[True, turn[1:] != turn[:-1]]), len(sizes)] if load.any() else []
+    found = []
+    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+        some = [(n, *(x[slice(*np.searchsorted(text, [first, last]))] for x in (at, place, text))) for n, at, place, text in seeds]
+        found += _aligned(index, hashes, begins, some, threshold)
+    return found
+
+
+def _aligned(index: Index, hashes: np.ndarray, begins: np.ndarray, seeds: list[tuple], threshold: float) -> list[tuple[int, int, float, int, int]]:
+    """What find() gives, of the seeds (length, word, place, text) of some whole texts."""
+    rows = []
+    for length, at, place, text in seeds:
+        _, first, counts, item, position, _ = index.by[length]
         each = counts[place]
         hit = np.repeat(first[place] - np.cumsum(np.r_[0, each[:-1]]), each) + np.arange(each.sum()) if len(at) else np.zeros(0, np.int64)
         rows.append(np.stack([np.repeat(text, each), item[hit], np.repeat(at, each) - position[hit]]))
-    if not rows or not (rows := np.concatenate(rows, axis=1)).shape[1]:
+    rows = np.concatenate(rows, axis=1)
+    if not rows.shape[1]:
         return []
     rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
     length = np.array([len(w) for w in index.words])[rows[1]]
@@ -155,12 +172,15 @@ def find(index: Index, hashes: np.ndarray, sizes: np.ndarray, threshold: float =
     new = np.r_[True, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0) | (np.diff(rows[2]) > slack[1:])]
     cut = np.flatnonzero(new)
     last = np.r_[cut[1:], len(new)] - 1
-    text, item = rows[0, cut], rows[1, cut]
+    text, item, length = rows[0, cut], rows[1, cut], length[cut]
     low = np.maximum(rows[2, cut] - slack[cut], begins[text])
-    high = np.minimum(rows[2, last] + length[cut] + slack[cut], begins[text + 1])
-    items, windows = [index.words[k] for k in item], [hashes[a:b] for a, b in zip(low, high, strict=True)]
+    high = np.minimum(rows[2, last] + length + slack[cut], begins[text + 1])
+    windows = [hashes[a:b] for a, b in zip(low, high, strict=True)]
+    enough = np.flatnonzero(index.common(item, windows) / length >= threshold)
+    text, item, length, low = text[enough], item[enough], length[enough], low[enough]
+    items, windows = [index.words[k] for k in item], [windows[k] for k in enough]
     score, end = align(items, windows)
-    share = score / (MATCH * length[cut])
+    share = score / (MATCH * length)
     good = np.flatnonzero(share >= threshold)
     # where it begins: the alignment of both turned round, from its end
     _, back = align([items[k][::-1] for k in good], [windows[k][: end[k] + 1][::-1] for k in good])
@@ -181,29 +201,6 @@ def _words(words: Words, part: pa.RecordBatch, at: int) -> tuple[list[str], np.n
     return texts, hashes[real], np.bincount(owner, minlength=len(sizes))
 
 
-def _frequencies(docs: DataFrame, text_column: str, shared) -> dict[tuple[int, int], int]:
-    """In how many texts each n-gram of an index comes; at most a number for each n-gram reaches the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, words = shared.value, Words(word_hashes)
-        counts = {length: np.zeros(len(index.by[length][0]), np.int64) for length in index.lengths}
-        for part in slices(batches, 0):
-            _, hashes, sizes = _words(words, part, 0)
-            begins = np.cumsum(np.r_[0, sizes])
-            for length in index.lengths:
-                at, place = index.found(hashes, length)
-                text = np.searchsorted(begins, at, side="right") - 1
-                inside = at + length <= begins[text + 1]
-                pairs = np.unique(text[inside] * len(counts[length]) + place[inside])
-                counts[length] += np.bincount(pairs % len(counts[length]), minlength=len(counts[length]))
-        for length, n in counts.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), length)), pa.array(some), pa.array(n[some])], ["length", "place", "n"])
-
-    each = docs.select(F.col(text_column)).mapInArrow(run, "length long, place long, n long")
-    return {(r.length, r.place): r.n for r in each.groupBy("length", "place").agg(F.sum("n").alias("n")).collect()}
-
-
 def annotate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", name: str = "matches", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """docs with a column `name`: array<struct<item_id, score, start, end>> of the benchmark items found in the whole
     text, by item id; code points, end exclusive. Other columns and all rows stay; a column of that name is replaced.
@@ -227,7 +224,6 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", n
     for block in range(blocks if size else 0):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         index = Index([(r.item_id, r.text) for r in some], seed_words)
-        index.keep_rare(_frequencies(docs, text_column, spark.sparkContext.broadcast(index)))
         out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(index), at, threshold, kind, len(columns)), schema)
     return out
 

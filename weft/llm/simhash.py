@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, texts_of, with_nulls, written
 from .components import components
+from .jaccard import groups
 
 #: Lanes that are compared together; a bucket of more is compared whole all the same.
 LANES = 1 << 16
@@ -256,8 +257,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that another document of their group stands for: the one of the least id stays.
+    """docs without those that another document of their group stands for: the one of the least id stays. Groups are
+    those of the similarity of five-word shingles; the digests and the radius above are the contract of op7 alone.
     Rows without an id stay."""
-    groups = near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = written(groups(docs).where("id <> component").select(F.col("id").alias("gone_id")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -123,3 +123,14 @@ def test_equals_alignment_with_every_item_at_a_fifth_to_three_tenths_edited(monk
     assert {(t, i) for t, i, *_ in found} == want and len(want) > 90
     monkeypatch.setattr(dc, "HITS", 50)
     assert sorted(dc.find(index, np.concatenate(texts), sizes)) == sorted(found)
+
+
+def test_excerpts_of_long_items(spark):
+    item = [f"w{k}" for k in range(59)]
+    around = [f"a{k}" for k in range(40)]
+    excerpts = [item[:13], item[20:40], item[-27:], item[:12], item[:8] + ["x"] * 9 + item[8:16]]
+    docs = [(k, " ".join(around[:20] + e + around[20:])) for k, e in enumerate(excerpts)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: [(m.item_id, round(m.score, 3)) for m in r.matches] for r in dc.annotate(df, bench).collect()}
+    assert got == {0: [(7, round(13 / 59, 3))], 1: [(7, round(20 / 59, 3))], 2: [(7, round(27 / 59, 3))], 3: [], 4: []}
+    assert all(not r.matches for r in dc.annotate(df, bench, excerpt=None).collect())

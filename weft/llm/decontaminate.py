@@ -2,8 +2,8 @@
 
 One pass over all documents looks every word n-gram of the benchmark up in each whole text, however frequent it is: an
 edited copy may keep any of them. Where the words around the seeds could still reach the score, the item is aligned
-with them, and alignments whose score is a share of the item's best possible one are kept. The pass goes by rows and
-moves no text.
+with them. Alignments are kept whose score is a share of the item's best possible one, or that of an excerpt of so many
+words, however long the item is. The pass goes by rows and moves no text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .words import Words, hash64
 
 #: Words of a seed, and the least share of an item's own score.
 SEED_WORDS, THRESHOLD = 3, 0.5
+#: Words of a verbatim excerpt whose score is enough, whatever share of the item's own score it is.
+EXCERPT_WORDS = 13
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Benchmark text that is indexed and sent to the executors at once; a larger benchmark goes in several blocks.
 BLOCK_BYTES = 8 << 20
@@ -134,9 +136,10 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, ends
 
 
-def find(index: Index, hashes: np.ndarray, sizes: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, float, int, int]]:
+def find(index: Index, hashes: np.ndarray, sizes: np.ndarray, threshold: float = THRESHOLD, excerpt: int | None = None) -> list[tuple[int, int, float, int, int]]:
     """(text, item, share of the item's score, first and last word) of the best alignment of each item that a text
-    shares a seed with, if it reaches the threshold. hashes: of the words of all texts in a row."""
+    shares a seed with, if it reaches the threshold, or the score of an excerpt of so many words. hashes: of the words of
+    all texts in a row."""
     begins = np.cumsum(np.r_[0, sizes])
     seeds, load = [], np.zeros(len(sizes), np.int64)
     for length in index.lengths:
@@ -151,11 +154,11 @@ def find(index: Index, hashes: np.ndarray, sizes: np.ndarray, threshold: float =
     found = []
     for first, last in zip(cuts[:-1], cuts[1:], strict=True):
         some = [(n, *(x[slice(*np.searchsorted(text, [first, last]))] for x in (at, place, text))) for n, at, place, text in seeds]
-        found += _aligned(index, hashes, begins, some, threshold)
+        found += _aligned(index, hashes, begins, some, threshold, excerpt)
     return found
 
 
-def _aligned(index: Index, hashes: np.ndarray, begins: np.ndarray, seeds: list[tuple], threshold: float) -> list[tuple[int, int, float, int, int]]:
+def _aligned(index: Index, hashes: np.ndarray, begins: np.ndarray, seeds: list[tuple], threshold: float, excerpt: int | None) -> list[tuple[int, int, float, int, int]]:
     """What find() gives, of the seeds (length, word, place, text) of some whole texts."""
     rows = []
     for length, at, place, text in seeds:
@@ -176,12 +179,13 @@ def _aligned(index: Index, hashes: np.ndarray, begins: np.ndarray, seeds: list[t
     low = np.maximum(rows[2, cut] - slack[cut], begins[text])
     high = np.minimum(rows[2, last] + length + slack[cut], begins[text + 1])
     windows = [hashes[a:b] for a, b in zip(low, high, strict=True)]
-    enough = np.flatnonzero(index.common(item, windows) / length >= threshold)
+    common = index.common(item, windows)
+    enough = np.flatnonzero((common / length >= threshold) | (common >= (np.inf if excerpt is None else excerpt)))
     text, item, length, low = text[enough], item[enough], length[enough], low[enough]
     items, windows = [index.words[k] for k in item], [windows[k] for k in enough]
     score, end = align(items, windows)
     share = score / (MATCH * length)
-    good = np.flatnonzero(share >= threshold)
+    good = np.flatnonzero((share >= threshold) | (score >= (np.inf if excerpt is None else MATCH * excerpt)))
     # where it begins: the alignment of both turned round, from its end
     _, back = align([items[k][::-1] for k in good], [windows[k][: end[k] + 1][::-1] for k in good])
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -201,7 +205,7 @@ def _words(words: Words, part: pa.RecordBatch, at: int) -> tuple[list[str], np.n
     return texts, hashes[real], np.bincount(owner, minlength=len(sizes))
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", name: str = "matches", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", name: str = "matches", seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, excerpt: int | None = EXCERPT_WORDS) -> DataFrame:
     """docs with a column `name`: array<struct<item_id, score, start, end>> of the benchmark items found in the whole
     text, by item id; code points, end exclusive. Other columns and all rows stay; a column of that name is replaced.
 
@@ -224,18 +228,18 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", n
     for block in range(blocks if size else 0):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         index = Index([(r.item_id, r.text) for r in some], seed_words)
-        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(index), at, threshold, kind, len(columns)), schema)
+        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(index), at, threshold, excerpt, kind, len(columns)), schema)
     return out
 
 
-def _matcher(shared, at: int, threshold: float, kind: pa.DataType, last: int):
+def _matcher(shared, at: int, threshold: float, excerpt: int | None, kind: pa.DataType, last: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, words = shared.value, Words(word_hashes)
         for part in slices(batches, at):
             texts, hashes, sizes = _words(words, part, at)
             rows = part.column(last).to_pylist()
             by: dict[int, list] = {}
-            for t, item, share, start, end in find(index, hashes, sizes, threshold):
+            for t, item, share, start, end in find(index, hashes, sizes, threshold, excerpt):
                 by.setdefault(t, []).append((item, share, start, end))
             for t, found in by.items():
                 spans = [(m.start(), m.end()) for m in _WORD.finditer(texts[t])]

@@ -54,6 +54,8 @@ class One:
     root: Any = None
     #: Depends on nothing but itself.
     const: bool = False
+    #: The number that a constant was given as.
+    literal: int | None = None
 
     @property
     def present(self) -> Column:
@@ -78,32 +80,96 @@ class Table:
     label: str | None = None
 
 
+@dataclass
+class Pending:
+    """Aggregates of one flow that are not yet computed: its rows, its links, and names of columns that other lookups
+    of the same rows gave."""
+
+    df: DataFrame
+    links: list[tuple[Column, str, bool]]
+    python: bool
+    some: list[tuple[str, Column]]
+    names: dict[str, str]
+
+    def joins(self, df: DataFrame, links: list[tuple[Column, str, bool]], python: bool) -> bool:
+        """Whether aggregates of that flow can be computed along with these."""
+        if self.python != python or len(links) != len(self.links):
+            return False
+        if df is self.df:
+            return all(a[0] is b[0] and a[1:] == b[1:] for a, b in zip(links, self.links, strict=True))
+        if links or len(df.columns) != len(self.df.columns) or not df.sameSemantics(self.df):
+            return False
+        self.names.update(zip(df.columns, self.df.columns, strict=True))
+        return True
+
+    def computed(self) -> DataFrame:
+        df = self.df.select("*", *[F.col(own).alias(other) for other, own in self.names.items() if other != own])
+        return df.groupBy(*[F.col(n) for _, n, _ in self.links]).agg(*[a.alias(n) for n, a in self.some])
+
+
 class Frame:
-    """Rows that columns can be added to."""
+    """Rows that columns can be added to. Aggregates of flows that are linked to them wait until the rows are read, so
+    that all of one flow are one pass over it."""
 
     def __init__(self, df: DataFrame):
-        self._df = df
+        self._df, self._pending = df, []
+        self._numbered: dict[tuple, tuple[DataFrame, str, str, DataFrame]] = {}
+        self._narrowed: list[tuple[DataFrame, DataFrame, Frame]] = []
 
     @property
     def df(self) -> DataFrame:
+        while self._pending:
+            p = self._pending.pop(0)
+            self._join(p.computed(), p.links)
         return self._df
 
     def join(self, other: DataFrame, on: list[tuple[Column, str, bool]]) -> None:
         """Adds the columns of a table that has at most one row for each value of its links."""
+        self._df = self.df
+        self._join(other, on)
+
+    def _join(self, other: DataFrame, on: list[tuple[Column, str, bool]]) -> None:
         own = [(outer, fresh("on"), nulls) for outer, _, nulls in on]
         for (_, name, _), (_, inner, _) in zip(own, on, strict=True):
             other = other.withColumnRenamed(inner, name)
-        self._df = joined(self.df, other, own, "left").drop(*[n for _, n, _ in own])
+        self._df = joined(self._df, other, own, "left").drop(*[n for _, n, _ in own])
+
+    def aggregate(self, df: DataFrame, on: list[tuple[Column, str, bool]], aggregate: Column, python: bool = False) -> str:
+        """Adds an aggregate of the rows of df by the links, when the frame is read; the name of its column."""
+        found = next((p for p in self._pending if p.joins(df, on, python)), None)
+        if found is None:
+            self._pending.append(found := Pending(df, on, python, [], {}))
+        found.some.append((name := fresh("agg"), aggregate))
+        return name
+
+    def numbered(self, flow: Flow) -> tuple[DataFrame, str, str]:
+        """The rows of a flow over this frame with their places among those of the same links, and how many there are;
+        one window for all that ask for places of one order."""
+        df, names = self.df, tuple(n for _, n, _ in flow.links)
+        key = (id(df), names, tuple(c if isinstance(c, str) else c._jc.toString() for c in flow.order))
+        if key not in self._numbered:
+            by = Window.partitionBy(*[F.col(n) for n in names])
+            made = df.withColumn(a := fresh(), F.row_number().over(by.orderBy(*ordering(flow)))).withColumn(b := fresh(), F.count("*").over(by))
+            self._numbered[key] = made, a, b, df
+        return self._numbered[key][:3]
 
     def where(self, condition: Column) -> Frame:
-        return Frame(self.df.where(condition))
+        """The rows for which a condition holds; asked again, the same frame."""
+        own = self.df
+        df = own.where(condition)
+        for base, made, frame in self._narrowed:
+            if base is own and made.sameSemantics(df):
+                return frame
+        self._narrowed.append((own, df, frame := Frame(df)))
+        return frame
 
 
 class Grouped(Frame):
     """The groups of a flow: aggregates are added until the frame is read."""
 
     def __init__(self, base: Flow, keys: list[str], some: list, conditions: tuple = ()):
-        self.base, self.names, self.some, self.conditions, self._df = base, keys, some, conditions, None
+        super().__init__(None)
+        self.base, self.names, self.some, self.conditions = base, keys, some, conditions
 
     @property
     def df(self) -> DataFrame:
@@ -114,11 +180,11 @@ class Grouped(Frame):
             for c in self.conditions:
                 df = df.where(c)
             self._df = df
-        return self._df
+        return super().df
 
     @property
     def still_open(self) -> bool:
-        return self._df is None
+        return self._df is None and not self._pending
 
     def where(self, condition: Column) -> Frame:
         return Grouped(self.base, self.names, self.some, (*self.conditions, condition)) if self.still_open else Frame(self.df.where(condition))
@@ -150,8 +216,10 @@ class Flow:
     links: tuple = ()
     outer: Frame | None = None
     foreign: frozenset = frozenset()
-    #: Of the members of a group: its frame's aggregates, and conditions that are not yet applied.
+    #: Of the members of a group: its frame's aggregates.
     group: list | None = None
+    #: Conditions that are not yet applied: of a group's members, and that a value is there. An aggregate takes them up,
+    #: so that aggregates of one flow's different values are one pass.
     conditions: tuple = ()
     some: bool = False
     sorted: bool = False
@@ -162,10 +230,12 @@ class Flow:
 
     def plain(self) -> Flow:
         """With its conditions applied."""
+        if self.group is None and not self.conditions:
+            return self
         frame = self.frame
         for c in self.conditions:
             frame = frame.where(c)
-        return replace(self, frame=frame, group=None, conditions=()) if self.group is not None else self
+        return replace(self, frame=frame, group=None, conditions=())
 
 
 # ---------------------------------------------------------------- packing
@@ -203,7 +273,7 @@ def view(v: Any, col: Column) -> Any:
         probe = v.of(F.lit(None))[0]
         return Many(col, lambda x: (view(probe, x), {}), v.some, v.label)
     if v.fields is None or v.root is not None:
-        return v if v.root is not None else replace(v, col=col, const=False)
+        return v if v.root is not None else replace(v, col=col, const=False, literal=None)
     return replace(v, col=col, fields=tuple((n, view(f, col.getField(f"f{k}"))) for k, (n, f) in enumerate(v.fields)))
 
 
@@ -293,7 +363,8 @@ def apply(q: Query, state: State, source: Any, ctx: dict, frame: Frame | None) -
     if q.op == "label":
         return State(relabel(v, q.args[0]) if not isinstance(v, Flow) else replace(v, val=relabel(v.val, q.args[0])), state.ctx)
     if isinstance(v, Flow):
-        v = local(v, names_of(q))
+        if q.op != "filter":  # a filter makes links of what it needs
+            v = local(v, names_of(q))
         return State(flow_step(q, v, source, ctx, frame), {}) if q.op in FLOW_STEPS else State(each_row(q, v, source), {})
     if q.op in FLOW_STEPS:
         return inline_step(q, state, source, ctx, frame)
@@ -452,7 +523,7 @@ def constant(value: Any, card: str | None = None) -> Any:
     if isinstance(value, bool):
         return One(F.lit(value), BOOL, const=True)
     if isinstance(value, int):
-        return One(F.lit(value).cast("bigint"), LONG, const=True)
+        return One(F.lit(value).cast("bigint"), LONG, const=True, literal=value)
     if isinstance(value, Column):
         raise QueryError("a column is not a constant")
     return One(F.lit(value), T._infer_type(value), const=True)
@@ -679,14 +750,14 @@ def _flow_aggregate(op: str, flow: Flow, place: One | None, frame: Frame | None)
     elif op in ("max", "min", "mean"):
         agg = {"max": F.max, "min": F.min, "mean": F.avg}[op](only(value))
         zero, out = None, One(None, DOUBLE if op == "mean" else kind, not some)
-    elif op in ("first", "last") or (op == "nth" and place is not None):
-        if op == "nth":
-            return _nth_flow(flow, place, outer)
+    elif op == "nth":
+        return _nth_flow(flow, place, outer)
+    elif op in ("first", "last"):
         agg = (F.min_by if op == "first" else F.max_by)(F.struct(value.alias("v")), only(_order(flow))).getField("v")
         zero, out = None, replace(val, opt=not some)
     elif udf and udf.aggregate:
         agg, zero, out = udf.call(only(value)), None, One(None, udf.kind, True)
-        if flow.group is not None:
+        if flow.group is not None or flow.conditions:
             flow = flow.plain()
             agg = udf.call(pack(flow.val, flow.frame))
     else:
@@ -694,10 +765,13 @@ def _flow_aggregate(op: str, flow: Flow, place: One | None, frame: Frame | None)
     if flow.group is not None and isinstance(outer, Grouped) and outer.some is flow.group and outer.still_open:
         name = outer.add(agg)
     else:
-        name = fresh("agg")
         flow = flow if flow.group is None or cond is not None else flow.plain()
-        groups = flow.df.groupBy(*[F.col(n) for _, n, _ in flow.links]) if flow.links else flow.df.groupBy()
-        outer.join(groups.agg(agg.alias(name)), list(flow.links))
+        name = outer.aggregate(flow.df, list(flow.links), agg, python=bool(udf and udf.aggregate))
+    return _aggregated(name, zero, out, some, flow, val.label if op in ("first", "last") else None)
+
+
+def _aggregated(name: str, zero: Column | None, out: One, some: bool, flow: Flow, label: str | None) -> One:
+    """The value of an aggregate's column."""
     col = F.col(name)
     if zero is not None:
         col = F.coalesce(col, zero) if flow.links else col
@@ -706,7 +780,7 @@ def _flow_aggregate(op: str, flow: Flow, place: One | None, frame: Frame | None)
         out = replace(view(replace(out, opt=False), col), col=col, opt=not some)
         if not some:
             out = replace(out, fields=tuple((n, replace(f, opt=True) if isinstance(f, One) else f) for n, f in out.fields))
-    return replace(out, label=val.label if op in ("first", "last") else None, const=False)
+    return replace(out, label=label, const=False)
 
 
 def _nth_flow(flow: Flow, place: One, outer: Frame) -> Any:
@@ -717,16 +791,20 @@ def _nth_flow(flow: Flow, place: One, outer: Frame) -> Any:
         n = flow.ctx["_n"].col
     else:
         n = place.col
-    by = [F.col(x) for _, x, _ in flow.links]
-    number = F.row_number().over(Window.partitionBy(*by).orderBy(*ordering(flow)))
-    total = F.count("*").over(Window.partitionBy(*by))
-    df = flow.df.withColumn(a := fresh(), number).withColumn(b := fresh(), total)
-    one = replace(flow, frame=Frame(df.where(F.col(a) == F.when(n < 0, F.col(b) + n + 1).otherwise(n))), some=False)
-    return _flow_aggregate("first", one, None, outer)
+    value = F.struct(pack(flow.val, flow.frame).alias("v"))
+    if (k := place.literal) is not None and not flow.links:  # the last of the first n
+        one = flow.df.orderBy(*ordering(flow, k < 0)).offset(max(0, abs(k) - 1)).limit(int(k != 0))
+        name = outer.aggregate(one, [], F.first(value).getField("v"))
+    else:
+        df, at, total = flow.frame.numbered(flow)
+        chosen = F.when(F.col(at) == F.when(n < 0, F.col(total) + n + 1).otherwise(n), value)
+        name = outer.aggregate(df, list(flow.links), F.first(chosen, ignorenulls=True).getField("v"))
+    return _aggregated(name, None, replace(flow.val, opt=True), False, flow, flow.val.label)
 
 
-def ordering(flow: Flow) -> list[Column]:
-    return [F.col(c).asc_nulls_first() if isinstance(c, str) else c.asc_nulls_first() for c in flow.order] or [F.lit(0)]
+def ordering(flow: Flow, falling: bool = False) -> list[Column]:
+    columns = [F.col(c) if isinstance(c, str) else c for c in flow.order] or [F.lit(0)]
+    return [c.desc_nulls_last() if falling else c.asc_nulls_first() for c in columns]
 
 
 def nested(flow: Flow) -> Many:
@@ -820,12 +898,61 @@ def filtered(q: Query, flow: Flow, source: Any) -> Flow:
                         flow = replace(plain, frame=frame, links=(*plain.links, (other.col, n, False)), some=False)
                         continue
         flow = local(flow, names_of(part))
+        if (met := _met(part, flow)) is not None:
+            flow = met
+            continue
         before = flow.frame
         cond = condition(evaluate(part, flow.val, flow.ctx, flow.frame), flow.frame, where=True)
         flow = narrowed(replace(flow, frame=before), cond)
     return flow
 
 
+def _existence(q: Query) -> tuple[Query, bool] | None:
+    """(X, whether it is wanted) of a predicate that says whether X has elements."""
+    if q.op == "lift" and q.args[0] == "!":
+        found = _existence(q.args[1])
+        return found and (found[0], not found[1])
+    if q.op == "lift" and q.args[0] in ("==", ">", "!=") and len(q.args) == 3 and q.args[2].op == "const" and q.args[2].args[0] in (0,):
+        x = _aggregated_query(q.args[1], "count")
+        return None if x is None else (x, q.args[0] != "==")
+    x = _aggregated_query(q, "exists")
+    return None if x is None else (x, True)
+
+
+def _aggregated_query(q: Query, name: str) -> Query | None:
+    """X of name(X) and of X >> name."""
+    if q.op == "agg" and len(q.args) == 2 and q.args[0] == name:
+        return q.args[1]
+    if q.op == "compose" and q.args[-1].op == "then" and q.args[-1].args[0] == name and len(q.args[-1].args) == 1:
+        return Query("compose", *q.args[:-1]) if len(q.args) > 2 else q.args[0]
+    return None
+
+
+def _met(q: Query, flow: Flow) -> Flow | None:
+    """The flow's rows for which a linked flow has an element, or none: a semi or anti join by the links. None where the
+    predicate is another one, or the elements are no linked flow."""
+    if flow.group is not None or isinstance(flow.frame, Grouped):
+        return None
+    found = _existence(q)
+    if not found and q.op not in ("compose", "get"):
+        return None
+    before = flow.frame
+    value = evaluate(found[0] if found else q, flow.val, flow.ctx, before)
+    if isinstance(value, Table):
+        value = value.open(before, flow.ctx)
+    if not isinstance(value, Flow) or value.group is not None or not value.links:
+        return None
+    value = local(value, frozenset()).plain()
+    if not found:  # a predicate of several values: one of them is true
+        if not (isinstance(value.val, One) and isinstance(value.val.type, T.BooleanType)):
+            return None
+        value = narrowed(value, value.val.col)
+    names = [(outer, n, fresh("on"), nulls) for outer, n, nulls in value.links]
+    right = value.df.select(*[F.col(n).alias(m) for _, n, m, _ in names])
+    df = joined(before.df, right, [(outer, m, nulls) for outer, _, m, nulls in names], "left_semi" if not found or found[1] else "left_anti")
+    return replace(flow, frame=Frame(df), some=False)
+
+
 def each_row(q: Query, flow: Flow, source: Any) -> Flow:
     """A step of every row of a flow."""
     if q.op == "filter":
@@ -838,7 +965,7 @@ def each_row(q: Query, flow: Flow, source: Any) -> Flow:
     if isinstance(val, Many):
         return exploded(flow, val, ctx)
     if val.opt:
-        flow = narrowed(flow, val.present)
+        flow = replace(flow, conditions=(*flow.conditions, val.present), some=False)
         val = _sure(val)
     return replace(flow, val=val, ctx=ctx)
 
@@ -1022,6 +1149,29 @@ def _place(q: Query, source: Any, ctx: dict, frame: Frame | None) -> One:
     return n
 
 
+def _head(flow: Flow, k: int, falling: bool) -> DataFrame:
+    """The first k rows, or the last."""
+    return flow.df.orderBy(*ordering(flow, falling)).limit(k)
+
+
+def _beyond(flow: Flow, k: int, falling: bool) -> DataFrame:
+    """All but the first k rows, or the last. Only those k are ordered; the others are told by their place in the order
+    after the k-th one, so that they stay where they are. Rows of the same place as the k-th are counted off."""
+    df = flow.df
+    if not flow.order:
+        return df.offset(k)
+    if not k:
+        return df
+    order = _order(flow)
+    edge = _head(flow, k, falling).groupBy(order.alias(e := fresh("edge"))).agg(F.count("*").alias(t := fresh("taken")))
+    edge = edge.orderBy(F.col(e).asc() if falling else F.col(e).desc()).limit(1)
+    # one row; none where there is no row at all
+    after = df.crossJoin(F.broadcast(edge)).where(order < F.col(e) if falling else order > F.col(e)).drop(e, t)
+    place = F.row_number().over(Window.partitionBy(e).orderBy(F.lit(0)))
+    same = df.crossJoin(F.broadcast(edge)).where(order == F.col(e)).withColumn(p := fresh(), place).where(F.col(p) > F.col(t)).drop(e, t, p)
+    return after.unionByName(same)
+
+
 def _sliced(op: str, q: Query, flow: Flow, source: Any, ctx: dict, frame: Frame | None) -> Flow:
     """The first n of the flow, or the rest; from the end for negative n; all, or none, for no n."""
     flow = flow.plain()
@@ -1030,10 +1180,7 @@ def _sliced(op: str, q: Query, flow: Flow, source: Any, ctx: dict, frame: Frame
         k = q.args[0] if q.op == "const" else (frame or Frame(flow.df.sparkSession.range(1))).df.select(n.col.alias("n")).head()["n"]
         if k is None:
             return flow if op == "take" else narrowed(flow, F.lit(False))
-        if k < 0:
-            k = max(0, flow.df.count() + k)
-        df = flow.df.orderBy(*ordering(flow))
-        return replace(flow, frame=Frame(df.limit(k) if op == "take" else df.offset(k)), some=False)
+        return replace(flow, frame=Frame(_head(flow, abs(k), k < 0) if (op == "take") == (k >= 0) else _beyond(flow, abs(k), k < 0)), some=False)
     if not n.const:
         flow = bring(flow, {"_n": n}, frame or flow.outer)
         place = flow.ctx["_n"].col

@@ -97,7 +97,7 @@ class Db:
         if isinstance(found, Table):
             found = found.open(frame, ctx)
         if isinstance(found, Flow):
-            found = lower.local(found, lower.names_of(q))
+            found = lower.local(found, lower.names_of(q)).plain()
         return Result(self, q, frame, found)
 
 

@@ -2,7 +2,7 @@ import pytest
 
 from weft import (
     Collect, Count, Desc, Drop, Each, Exists, Filter, First, Get, Given, Group, Is, Is0to1, Is0toN, Is1to1, Is1toN, It, Join, Keep, Label,
-    Last, Lift, Max, Mean, Min, Mix, Nth, QueryError, Record, Sort, Sum, Tag, Take, Unique, register,
+    Last, Lift, Max, Mean, Min, Mix, Nth, QueryError, Record, Sort, Sum, Tag, Take, Then, Unique, register,
 )
 
 from .fixture import city, flat
@@ -250,3 +250,28 @@ def test_shapes_and_text(db):
     assert repr(It.department >> Filter(Count(It.employee) > 3) >> Tag("Big", It.name)) == "It.department >> Filter((Count(It.employee) > 3)) >> Big"
     with pytest.raises(TypeError):
         bool(It.a == 1)
+
+
+def test_steps_of_ones_own_and_data_to_start_from(db, tables):
+    def dearest(x, n):
+        return x >> Sort(Desc(It.salary)) >> Take(n)
+
+    assert tables[It.employee >> Filter(It.salary > 0) >> Then(dearest, 1) >> It.name].get() == ["JAMES A"]
+    assert db[It.department >> Record(It.name, n=It.employee >> Then(Count))].get() == db[It.department >> Record(It.name, n=Count(It.employee))].get()
+    top = db[It.department.employee.salary >> Max]
+    assert db[top >> (It + 1)].get() == top.get() + 1
+    names = tables[It.employee >> It.name]
+    assert tables[names >> Count].get() == 10
+    assert 0 <= db[Lift("rand")].get() < 1
+    assert "double(It.salary)" in repr(It.employee >> Tag("double", (It.salary,), It.salary * 2))
+    with pytest.raises(QueryError, match="stands after"):
+        db[Then(Count)].get()
+
+
+def test_some_element_for_each_row(tables):
+    own = It.overtime >> Filter(It.employee == It.k) >> Is1toN
+    q = Keep(k=It.name) >> Join(Label("hours", own)) >> Record(It.name, n=Count(It.hours))
+    some = tables[It.employee >> Filter(It.name == "JAMES A") >> q].get()
+    assert some == [{"name": "JAMES A", "n": 6}]
+    with pytest.raises(Exception, match="expected a mandatory value"):
+        tables[It.employee >> q].get()

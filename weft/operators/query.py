@@ -37,10 +37,14 @@ class Query:
         return self >> Get(name)
 
     def __rshift__(self, other: Any) -> Query:
-        left = self.args if self.op == "compose" else (self,)
         other = as_query(other)
-        right = other.args if other.op == "compose" else (other,)
-        return Query("compose", *left, *right)
+        out = self
+        for part in other.args if other.op == "compose" else (other,):
+            if part.op == "apply":  # what stands before is its argument
+                out = as_query(part.args[0](out, *part.args[1:]))
+            else:
+                out = Query("compose", *(out.args if out.op == "compose" else (out,)), part)
+        return out
 
     def __rrshift__(self, other: Any) -> Query:
         return as_query(other) >> self
@@ -83,6 +87,8 @@ def as_query(x: Any) -> Query:
         return Label(x[0], x[1])
     if getattr(x, "bare", None):
         return x()
+    if hasattr(x, "as_knot"):  # a result: data that a query starts from
+        return Query("knot", x)
     return Query("const", x)
 
 
@@ -103,10 +109,15 @@ def Label(name: str, x: Any = None) -> Query:
     return Query("label", name) if x is None else Query("compose", as_query(x), Query("label", name)) if as_query(x).op != "compose" else as_query(x) >> Query("label", name)
 
 
+#: Functions of the table that need no argument.
+ZERO = {"rand"}
+
+
 def Lift(fn: Any, *args: Any, card: str | None = None) -> Query:
     """A function (a name of the function table, or a Python callable) of queries; without one, a constant. A list is
-    a plural constant, whose cardinality may be declared; None has no element."""
-    if isinstance(fn, str) and args or callable(fn) and not isinstance(fn, Query):
+    a plural constant, whose cardinality may be declared; None has no element. The name of a function that needs no
+    argument is that function."""
+    if isinstance(fn, str) and (args or fn in ZERO) or callable(fn) and not isinstance(fn, Query):
         return Query("lift", fn, *map(as_query, args))
     return Query("const", fn, card) if card else as_query(fn)
 
@@ -153,11 +164,19 @@ def Given(*args: Any, **named: Any) -> Query:
 Let = Given
 
 
-def Tag(name: str, x: Any) -> Query:
-    """x, printed as name."""
+def Tag(name: str, *args: Any) -> Query:
+    """Tag(name, X): X, printed as name. Tag(name, (a, b), X): X, printed as name(a, b)."""
+    *shown_args, x = args
+    if shown_args:
+        name = f"{name}({', '.join(shown(as_query(a)) for a in shown_args[0])})"
     return Query("tag", as_query(x), name)
 
 
+def Then(build: Callable[..., Any], *args: Any) -> Query:
+    """X >> Then(build, a) is build(X, a): a step of the user's own, made of other queries."""
+    return Query("apply", build, *args)
+
+
 def Sort(*keys: Any) -> Query:
     return Query("sort", *map(as_query, keys))
 
@@ -236,6 +255,10 @@ def shown(q: Any) -> str:
         return f"{args[0]}=None"
     if op == "tag":
         return args[1]
+    if op == "knot":
+        return "<result>"
+    if op == "apply":
+        return f"Then({getattr(args[0], '__name__', 'function')}{''.join(f', {shown(a)}' for a in args[1:])})"
     if op in ("then", "agg"):
         return f"{_NAMES.get(args[0], args[0].capitalize())}{'' if op == 'then' and len(args) == 1 else f'({", ".join(map(shown, args[1:]))})'}"
     if op == "given":

@@ -441,6 +441,13 @@ def step(q: Query, v: Any, ctx: dict, source: Any, frame: Frame | None) -> tuple
         return lookup(args[0], v, ctx, frame), ctx
     if op == "const":
         return constant(*args), ctx
+    if op == "knot":
+        if frame is None:
+            raise QueryError("a result cannot be reached from inside an array")
+        found = args[0].as_knot(frame)
+        return found.open(frame, ctx) if isinstance(found, Table) else found, ctx
+    if op == "apply":
+        raise QueryError("Then() stands after another query")
     if op == "lift":
         return lifted(args[0], args[1:], v, ctx, frame), ctx
     if op == "each":
@@ -1227,7 +1234,9 @@ def _checked_flow(name: str, flow: Flow, frame: Frame | None) -> Any:
             checked = outer.df.select(_sure_of(size, bad).alias(n := fresh("check")))
             plain = flow.plain()
             return replace(plain, frame=Frame(plain.df.crossJoin(checked).where(F.col(n).isNotNull())), some=True)
-        raise QueryError("a collection of tables is checked at its own source")
+        # each of the outer rows carries the check of its own elements
+        outer._df = outer.df.where(_sure_of(size, bad) > 0)
+        return replace(flow, some=True)
     first = _flow_aggregate("first", flow, None, outer)
     return replace(view(replace(first, opt=False), _sure_of(first.col, bad)), opt=card == OPT)
 

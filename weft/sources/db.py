@@ -168,7 +168,14 @@ class Result:
     def shape(self) -> Shape:
         return lower.shape(self.flow)
 
-    def value(self, frame: Frame, name: str) -> Any:
+    def __rshift__(self, other: Any) -> Query:
+        """A query that starts from this result."""
+        return as_query(self) >> other
+
+    def as_knot(self, frame: Frame) -> Any:
+        return self.value(frame, None)
+
+    def value(self, frame: Frame, name: str | None) -> Any:
         """This result as a parameter of another query: a single row is joined to the other's frame."""
         if isinstance(self.flow, Flow):
             flow = self.flow

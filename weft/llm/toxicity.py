@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table, texts_of, with_nulls
+from .common import FIT_BYTES, fitted, forget, held_out, least, map_rows, named, slices, table, texts_of, with_nulls, written
 from .words import Words, hash64
 
-#: Labelled documents that the field is fitted to at most, toxic and clean: those of the least hashes of the ids.
+#: Labelled documents that the field is fitted to at most, toxic and clean: those of the least hashes of the ids. The
+#: text of either is bounded by FIT_BYTES too.
 TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
+#: Documents of the sample that are tagged together when the score is fitted.
+TAGGED = 256
 BITS, EPOCHS, RATE, DECAY, SEED = 18, 30, 0.5, 1e-4, 5
 #: Words of a chain at most; a longer sentence goes on in the next chain.
 CHAIN = 64
@@ -35,7 +38,7 @@ _OTHER = re.compile(r"[^\w\n]+|_+")
 
 def features(words: list[str]) -> np.ndarray:
     """(words, 6) buckets of each word: itself, its first 3 to 6 letters, its last 3; -1 for those it has not."""
-    out = np.full((len(words), 6), -1, np.int64)
+    out = np.full((len(words), 6), -1, np.int32)
     mask = (1 << BITS) - 1
     for k, w in enumerate(_OTHER.sub("", "\n".join(words).lower()).split("\n") if words else []):
         if w:
@@ -48,6 +51,10 @@ def features(words: list[str]) -> np.ndarray:
     return out
 
 
+def ends_sentence(words: list[str]) -> np.ndarray:
+    return np.array([w.rstrip("\"')]}»”’").endswith((".", "!", "?", "…")) for w in words], bool)
+
+
 def chains(sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(begin, length) of the chains of texts of so many words; ends: words that end a sentence."""
     n = len(ends)
@@ -103,7 +110,7 @@ def marginals(scores: np.ndarray, begins: np.ndarray, lengths: np.ndarray, moves
 
 @dataclass
 class Model:
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, np.float32))
     bias: float = -6.0
     moves: np.ndarray = field(default_factory=lambda: np.zeros(3))
     #: Of a document's logit: constant, largest marginal's logit, log of 1 + offending words.
@@ -112,8 +119,8 @@ class Model:
     def describe(self, words: list[str]) -> np.ndarray:
         """Score of the toxic state, and whether the word ends a sentence."""
         buckets = features(words)
-        scores = np.where(buckets >= 0, self.weights[buckets], 0).sum(axis=1) + self.bias
-        return np.stack([scores, np.array([w.rstrip("\"')]}»”’").endswith((".", "!", "?", "…")) for w in words], float)], axis=1)
+        scores = np.where(buckets >= 0, self.weights[buckets], 0).sum(axis=1, dtype=np.float64) + self.bias
+        return np.stack([scores, ends_sentence(words)], axis=1)
 
     def tag(self, texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(marginal of each word of all texts, words of each text)."""
@@ -166,24 +173,31 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         return model
     known: dict[str, int] = {}
-    parts = [np.array([known.setdefault(w, len(known)) for w in t.split()], np.int64) for t in texts]
+    parts = [np.array([known.setdefault(w, len(known)) for w in t.split()], np.int32) for t in texts]
     sizes, numbers = np.array([len(p) for p in parts]), np.concatenate(parts)
     words = list(known)
-    buckets = features(words)
-    ends = model.describe(words)[:, 1] > 0
-    owner = np.repeat(np.arange(len(y)), sizes)
+    del known, parts
+    buckets, ends = features(words), ends_sentence(words)
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
 
     # which features the labels tie to toxic documents: uses in different surroundings, in toxic and clean ones
     fresh = _unseen(numbers, sizes)[owner]
-    around = np.r_[_triples(numbers)[-1:], _triples(numbers)[:-1]]
+    around = np.roll(_triples(numbers), 1)
     own = y[owner] == 1
     uses = np.zeros((2, 1 << BITS))
     for column in range(6):
-        f = buckets[numbers, column]
         for side in (0, 1):
-            use = fresh & (own == side) & (f >= 0)
-            mixed = np.unique(np.stack([f[use], (around[use] & np.uint64(0x7FFFFFFFFFFFFFFF)).astype(np.int64)]), axis=1)
-            uses[side] += np.bincount(mixed[0], minlength=1 << BITS)
+            use = np.flatnonzero(fresh & (own == side))
+            f = buckets[numbers[use], column]
+            use, f = use[f >= 0], f[f >= 0].astype(np.uint64)
+            # one number for feature and surroundings: the feature in the low bits, a mix of both above
+            mixed = (around[use] ^ f * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed &= ~np.uint64((1 << BITS) - 1)
+            mixed |= f
+            mixed.sort()
+            new = np.r_[True, mixed[1:] != mixed[:-1]][: len(mixed)]
+            uses[side] += np.bincount((mixed[new] & np.uint64((1 << BITS) - 1)).astype(np.int64), minlength=1 << BITS)
+    del around
     clean, bad = uses
     share = (fresh & own).sum() / max(1, fresh.sum())
     at = np.clip(bad / np.maximum(bad + clean, 1), 1e-9, 1 - 1e-9)
@@ -204,14 +218,14 @@ def train(texts: list[str], toxic: list[int]) -> Model:
 
     # documents: the score is fitted to their labels
     found = Words(model.describe)
-    p, sizes = model.tag(texts, found)
-    x, prior = _summary(p, sizes), np.array([0.0, 1.0, 1.0])
+    parts = [_summary(*model.tag(texts[i : i + TAGGED], found)) for i in range(0, len(texts), TAGGED)]
+    x, prior = np.concatenate(parts), np.array([0.0, 1.0, 1.0])
     w = prior.copy()
     for _ in range(50):
         q = _sigmoid(x @ w)
         slope = x.T @ (q - y) + 0.5 * (w - prior)
         w = w - np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(3), slope)
-    model.document = w
+    model.document, model.weights = w, model.weights.astype(np.float32)
     return model
 
 
@@ -228,6 +242,7 @@ def _fit_field(model: Model, buckets: np.ndarray, numbers: np.ndarray, marked: n
     last = np.where(first, 0, np.r_[0, y[:-1]])
     steps = np.array([((1 - last) * y).sum(), (last * (1 - y)).sum(), (last * y).sum()])
     squares, own = np.full(1 << BITS, 1e-3), np.full(4, 1e-3)
+    model.weights = model.weights.astype(np.float64)
     for _ in range(EPOCHS):
         scores = np.where(have, model.weights[table], 0).sum(axis=1) + model.bias
         p, expected = marginals(scores[words], begins, lengths, model.moves, pairs=True)
@@ -242,20 +257,29 @@ def _fit_field(model: Model, buckets: np.ndarray, numbers: np.ndarray, marked: n
         model.moves -= change[1:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
-    """A model of the labelled rows of docs, at most so many toxic and clean ones. labels: doc_id, toxic; a null label
-    counts for nothing, and a document that has both labels is left out. Texts reach the driver, in that bound."""
-    docs = with_nulls(docs, text_column).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+def _learn(rows: list[tuple]) -> Model:
+    """The model of rows (toxic, h, text); nothing that training held outlives it but the model."""
+    return train([text or "" for _, _, text in rows], [toxic for toxic, _, _ in rows])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, most_bytes: int = FIT_BYTES) -> Model:
+    """A model of the labelled rows of docs, at most so many toxic and clean ones, and of each so many bytes of text.
+    labels: doc_id, toxic; a null label counts for nothing, and a document that has both labels is left out. Rows of
+    one id teach once, by the least of their texts. Training is one task of an executor."""
+    docs = with_nulls(docs, text_column)
+    docs = docs.select(named(id_column).cast("long").alias("id"), named(text_column).alias("text")).withColumn("h", F.xxhash64("id"))
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("label_id"))
-    one = one.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
-    texts, toxic = [], []
-    for value, rows in ((1, toxic_rows), (0, clean_rows)):
-        few = one.where(F.col("toxic") == value).join(docs.select(F.col("id").alias("label_id")).distinct(), "label_id", "left_semi")
-        few = few.orderBy(F.xxhash64("label_id"), "label_id").limit(rows).select("label_id")
-        found = docs.join(F.broadcast(few), docs["id"] == few["label_id"]).orderBy("id", "text").limit(rows).select("text").collect()
-        texts += [r.text or "" for r in found]
-        toxic += [value] * len(found)
-    return train(texts, toxic)
+    one = one.agg(F.min("toxic").cast("int").alias("g"), F.max("toxic").alias("most")).where("g = most").select("label_id", "g")
+    sizes = docs.where("id is not null").select("id", "h", F.octet_length("text").alias("n"))
+    keys = written(sizes.join(one, sizes["id"] == one["label_id"]).groupBy("g", "id", "h").agg(F.max("n").alias("n")), "labelled")
+    taken = F.lit(False)
+    for g, h in least(keys, {1: toxic_rows, 0: clean_rows}, most_bytes).items():
+        taken |= (F.col("g") == g) & (F.col("h") <= h)
+    few = keys.where(taken).select("g", F.col("id").alias("few_id"))  # of a size that the bounds on rows give
+    some = docs.join(F.broadcast(few), docs["id"] == few["few_id"]).groupBy("g", "h").agg(F.min("text").alias("text"))
+    model = fitted(some, _learn)
+    forget(keys)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -285,11 +309,14 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, kind)], ["doc_id", "score", "predicted", "spans"])
 
     docs = with_nulls(docs, text_column)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start: long, end: long, p: double>>")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, held_out, score, predicted, spans (see score()). Null ids are not held out and
+    teach nothing; null and empty texts have the score of a text without words and no span; repeated rows stay; no
+    rows give no rows, no labels a model that finds nothing. Other columns play no part."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out("doc_id", 5, 0)), table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted", "spans")
@@ -297,7 +324,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the model rejects, in one pass: a row's own text decides. Labels train it as in the
-    query; a document's own label is not looked up."""
+    query; a document's own label is not looked up. All columns stay, whatever they are called; null and empty texts and
+    null ids are kept like others."""
     model = fit(docs.where(~held_out("doc_id", 5, 0)), table(spark, sf_dir, "labels"))
     docs = with_nulls(docs, "text")
     at = docs.columns.index("text")
@@ -307,4 +335,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for part in slices(batches, at):
             yield part.filter(pa.array(model.scores(*model.tag(texts_of(part, at), words)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

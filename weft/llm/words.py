@@ -36,7 +36,7 @@ class Words(dict):
         for text in texts:
             words = text.split()
             sizes.append(len(words))
-            out.append(np.fromiter(map(get, words), np.int64, len(words)))
+            out.append(np.fromiter(map(get, words), np.int32, len(words)))
         if self.fresh:
             new = self.describe(self.fresh)
             if self.used + len(new) > len(self.rows):
@@ -46,7 +46,7 @@ class Words(dict):
             self.rows[self.used : self.used + len(new)] = new
             self.used += len(new)
             self.fresh = []
-        return (np.concatenate(out) if out else np.zeros(0, np.int64)), np.array(sizes, np.int64)
+        return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.array(sizes, np.int64)
 
 
 def hash64(text: str) -> int:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of, with_nulls
+from .common import map_rows, named, slices, table, texts_of, with_nulls
 from .words import Words, hash64
 
 #: Words of a seed, and the least share of an item's own score.
@@ -214,21 +214,21 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", n
     of BLOCK_BYTES, each of which goes over all documents."""
     spark = docs.sparkSession
     docs, benchmark = with_nulls(docs, text_column), with_nulls(benchmark, "text")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()])
-    columns = docs.columns
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
     if text_column not in columns:
         raise ValueError(f"{name} is the text itself")
     at = columns.index(text_column)
-    schema = docs.withColumn(name, F.lit(None).cast("array<struct<item_id: bigint, score: double, start: bigint, end: bigint>>")).schema
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
     items = benchmark.where("length(text) > 0").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head().n
     blocks = max(1, -(-size // BLOCK_BYTES))
-    out = docs.withColumn(name, F.expr(f"cast(array() as {schema[name].dataType.simpleString()})"))
+    none = F.expr("cast(array() as array<struct<item_id: bigint, score: double, start: bigint, end: bigint>>)").alias(name)
+    out = docs.select(*[named(c) for c in columns], none)
     for block in range(blocks if size else 0):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         index = Index([(r.item_id, r.text) for r in some], seed_words)
-        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(index), at, threshold, excerpt, kind, len(columns)), schema)
+        out = map_rows(out, _matcher(spark.sparkContext.broadcast(index), at, threshold, excerpt, kind, len(columns)))
+        del index, some
     return out
 
 
@@ -252,12 +252,19 @@ def _matcher(shared, at: int, threshold: float, excerpt: int | None, kind: pa.Da
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, contaminated, item_ids, best_score, matches (see annotate()). Null and empty texts
+    and an empty benchmark give no match; repeated rows and null ids stay; no rows give no rows. Other columns play no
+    part."""
     found = annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     best = F.array_max(F.transform("matches", lambda m: m["score"]))
     return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.transform("matches", lambda m: m["item_id"]).alias("item_ids"), best.alias("best_score"), "matches")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those in which a benchmark item was found."""
-    found = annotate(docs, table(spark, sf_dir, "benchmark"), name="_matches")
-    return found.where(F.size("_matches") == 0).drop("_matches")
+    """docs without those in which a benchmark item was found. All columns stay, whatever they are called; null and
+    empty texts and null ids are kept like others."""
+    name = "matches"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    found = annotate(docs, table(spark, sf_dir, "benchmark"), name=name)
+    return found.where(F.size(name) == 0).drop(name)

@@ -17,8 +17,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import slices, table, texts_of, with_nulls
+from .common import map_rows, named, slices, table, texts_of, with_nulls
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Entries of a worker's table; when it is full it begins anew.
@@ -81,10 +82,9 @@ def encode(docs: DataFrame, text_column: str = "text", model: str = MODEL, name:
     end id only. A column of that name is replaced; other columns stay."""
     docs = with_nulls(docs, text_column)
     kept = [c for c in docs.columns if c.lower() != name.lower()]
-    at = kept.index(text_column) if text_column in kept else None
-    if at is None:
-        docs, kept, at = docs.withColumn("_text", F.col(text_column)), [*kept, "_text"], len(kept)
-    source = docs.select(*[F.col(f"`{c}`") for c in kept])
+    # the text itself may be the column that is replaced: it stands last then
+    source = docs.select(*[named(c) for c in kept], *([named(text_column)] if text_column not in kept else []))
+    at = source.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = chunks(model)
@@ -93,11 +93,10 @@ def encode(docs: DataFrame, text_column: str = "text", model: str = MODEL, name:
             packed = [own.packed(t) + end for t in texts_of(part, at)]
             offsets = np.cumsum([0, *map(len, packed)]) // own.kind.itemsize
             ids = np.frombuffer(b"".join(packed), own.kind).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], [*kept, name])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], [*part.schema.names, "ids"])
 
-    schema = source.withColumn(name, F.lit(None).cast("array<int>")).schema
-    out = source.mapInArrow(run, schema)
-    return out.drop("_text") if kept[-1] == "_text" and text_column == name else out
+    out = map_rows(source.toDF(*[f"t{k}" for k in range(len(source.columns))]), run, StructType([StructField("ids", ArrayType(IntegerType()))]))
+    return out.select(*[F.col(f"t{k}").alias(c) for k, c in enumerate(kept)], F.col("ids").alias(name))
 
 
 def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str = MODEL) -> DataFrame:
@@ -117,15 +116,18 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = with_nulls(docs, text_column)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts are the end id alone;
+    repeated rows and null ids stay; no rows give no rows. Other columns play no part."""
     return digests(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as ids, with their digests' columns left out: (doc_id, source, lang, ids, n_tokens)."""
+    """The documents as ids: all columns but the text, and ids and n_tokens in place of such columns if there are any."""
     out = encode(docs)
-    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    rest = [c for c in out.columns if c != "text" and c.lower() not in ("ids", "n_tokens")]
+    return out.select(*[named(c) for c in rest], "ids", F.size("ids").cast("long").alias("n_tokens"))

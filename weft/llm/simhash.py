@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of, with_nulls, written
+from .common import named, slices, table, texts_of, with_nulls, written
 from .components import components
 from .jaccard import groups
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     docs = with_nulls(docs, text_column)
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(named(id_column).cast("long").alias("id"), named(text_column).alias("text")).mapInArrow(run, "id long, fp long")
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -252,6 +252,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, fingerprint, component_id (see near_duplicates()). Null and empty texts have
+    fingerprint zero and are linked like others; a row without an id has no component; repeated rows stay; no rows
+    give no rows. Other columns play no part."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -259,6 +262,6 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that another document of their group stands for: the one of the least id stays. Groups are
     those of the similarity of five-word shingles; the digests and the radius above are the contract of op7 alone.
-    Rows without an id stay."""
+    Rows without an id stay, and so do all columns, whatever they are called."""
     gone = written(groups(docs).where("id <> component").select(F.col("id").alias("gone_id")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -275,3 +275,21 @@ def test_some_element_for_each_row(tables):
     assert some == [{"name": "JAMES A", "n": 6}]
     with pytest.raises(Exception, match="expected a mandatory value"):
         tables[It.employee >> q].get()
+
+
+def test_aggregates_beyond_a_value(spark):
+    from weft import Db
+
+    values = [(k, (k * 7) % 23 if k % 5 else None, float(k % 4) if k % 3 else None) for k in range(60)]
+    db = Db(spark, {"t": ["k"]}, t=spark.createDataFrame(values, "k long, v long, x double"))
+    for sign, holds in {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}.items():
+        q = f"t.keep(b => v).join(own => t.filter(v {sign} b)){{k, n => count(own), e => exists(own), s => sum(own.x), a => max(own.x), b => min(own.v), m => mean(own.x), c => count(own.filter(k > 9))}}"
+        for row in db.q(q).get():
+            b = values[row["k"]][1]
+            own = [r for r in values if b is not None and r[1] is not None and holds(r[1], b)]
+            xs = [r[2] for r in own if r[2] is not None]
+            assert row["n"] == len(own) and row["e"] == bool(own) and row["s"] == sum(xs) and row["c"] == sum(r[0] > 9 for r in own), (sign, row)
+            assert row["a"] == max(xs, default=None) and row["b"] == min((r[1] for r in own), default=None)
+            assert row["m"] == (sum(xs) / len(xs) if xs else None)
+    turned = db.q("t.keep(b => v).join(own => t.filter(b <= v)){k, n => count(own)}").get()
+    assert turned == db.q("t.keep(b => v).join(own => t.filter(v >= b)){k, n => count(own)}").get()

@@ -49,3 +49,11 @@ def test_the_rest_of_a_table_is_not_one_task(spark):
 
 def test_plain_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice" in plan(spark, "filter_cmp")
+
+
+def test_one_inequality_makes_no_pairs(spark):
+    text = plan(spark, "join_theta_rank")
+    # only single rows are broadcast to all: the ranges and their totals
+    assert count(text, "CartesianProduct") == 0 and "Window" in text
+    assert all("broadcast" not in x or "Inner" in x or "Cross" in x for x in re.findall(r"BroadcastNestedLoopJoin.*", text))
+    assert count(text, r"\(\(?\w+#\d+ >= \w+#\d+") == 0

@@ -204,6 +204,17 @@ def joined(left: DataFrame, right: DataFrame, on: list[tuple[Column, str, bool]]
     return left.join(right, condition, how)
 
 
+@dataclass(frozen=True)
+class Beyond:
+    """own sign outer: a column of the flow against a value of the outer row; over_values() makes links of it, which
+    costs all pairs of rows and distinct values."""
+
+    own: str
+    sign: str
+    outer: Column
+    over_values: Callable[[Flow], Flow]
+
+
 @dataclass(frozen=True)
 class Flow:
     """Rows of a frame as elements. order: columns; links: (column of the outer frame, own column, whether nulls meet);
@@ -223,6 +234,8 @@ class Flow:
     conditions: tuple = ()
     some: bool = False
     sorted: bool = False
+    #: An inequality with a value of the outer row that is not yet a link.
+    beyond: Beyond | None = None
 
     @property
     def df(self) -> DataFrame:
@@ -230,6 +243,8 @@ class Flow:
 
     def plain(self) -> Flow:
         """With its conditions applied."""
+        if self.beyond is not None:
+            return self.beyond.over_values(replace(self, beyond=None)).plain()
         if self.group is None and not self.conditions:
             return self
         frame = self.frame
@@ -736,6 +751,11 @@ def _flow_aggregate(op: str, flow: Flow, place: One | None, frame: Frame | None)
         return unique(flow)
     if op in ("nth",) and not place.const:
         return _nth_flow(flow, place, outer)
+    if flow.beyond is not None:
+        found = _running(op, flow, outer)
+        if found is not None:
+            return found
+        flow = flow.plain()
     val, some = flow.val, flow.some
     kind = val.type if isinstance(val, One) else None
     cond = None
@@ -777,6 +797,68 @@ def _flow_aggregate(op: str, flow: Flow, place: One | None, frame: Frame | None)
     return _aggregated(name, zero, out, some, flow, val.label if op in ("first", "last") else None)
 
 
+#: Ranges of the values that an inequality is about, each a task of its own.
+RANGES = 100
+_FLIPPED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+_RUNNING = {"count": ("n",), "exists": ("n",), "sum": ("s",), "mean": ("n", "s"), "max": ("a",), "min": ("b",)}
+
+
+def _running(op: str, flow: Flow, outer: Frame) -> One | None:
+    """An aggregate of the rows on one side of each outer value: values and rows are sorted together within ranges of
+    the values, an aggregate runs along, and that of the ranges passed before is added. No pairs are made. None if the
+    aggregate or the type is another one."""
+    val, beyond = flow.val, flow.beyond
+    if op not in _RUNNING or flow.links or flow.group is not None or not isinstance(val, One) or (op not in ("count", "exists") and not isinstance(val.type, T.NumericType)):
+        return None
+    key, side, bucket = fresh("key"), fresh("side"), fresh("range")
+    values = outer.df.select(beyond.outer.alias(key))
+    kind = flow.df.schema[beyond.own].dataType
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType)) or values.schema[key].dataType != kind or flow.df.isStreaming or outer.df.isStreaming:
+        return None
+    value = val.col if op not in ("count", "exists") else F.lit(1)
+    if op in ("sum", "mean"):
+        value = value.cast("double" if op == "mean" or isinstance(val.type, T.FractionalType) else "bigint")
+    measures = {"n": (F.lit(1).cast("bigint"), F.sum), "s": (value, F.sum), "a": (value, F.max), "b": (value, F.min)}
+    names = {m: fresh(m) for m in _RUNNING[op]}
+    rows = flow.df
+    for c in flow.conditions:
+        rows = rows.where(c)
+    rows = rows.where(F.col(beyond.own).isNotNull()).select(F.col(beyond.own).alias(key), *[measures[m][0].alias(n) for m, n in names.items()])
+    cuts = rows.agg(F.percentile_approx(key, [k / RANGES for k in range(1, RANGES)]).alias(q := fresh("cuts")))
+    falls = beyond.sign in (">", ">=")
+
+    def placed(df: DataFrame) -> DataFrame:
+        below = F.size(F.filter(F.coalesce(F.col(q), F.array().cast(T.ArrayType(kind))), lambda c: c < F.col(key)))
+        return df.crossJoin(F.broadcast(cuts)).withColumn(bucket, -below if falls else below).drop(q)
+
+    asked = values.where(F.col(key).isNotNull()).distinct()
+    both = placed(rows.withColumn(side, F.lit(0)).unionByName(asked.withColumn(side, F.lit(1)), allowMissingColumns=True))
+    # of equal values the rows come first where they count, else the asked one
+    tie = F.col(side) if beyond.sign in ("<=", ">=") else -F.col(side)
+    along = Window.partitionBy(bucket).orderBy(F.col(key).desc() if falls else F.col(key), tie).rowsBetween(Window.unboundedPreceding, 0)
+    run = both.select(key, side, bucket, *[measures[m][1](n).over(along).alias(n) for m, n in names.items()]).where(F.col(side) == 1)
+    totals = placed(rows).groupBy(bucket).agg(*[measures[m][1](n).alias(n) for m, n in names.items()])
+    totals = totals.agg(F.collect_list(F.struct(bucket, *names.values())).alias(t := fresh("ranges")))  # RANGES at most
+    run = run.crossJoin(F.broadcast(totals))
+
+
+    def all_of(m: str, n: str) -> Column:
+        """The ranges passed before, and the part of the own one."""
+        before = F.transform(F.filter(t, lambda x: x[bucket] < F.col(bucket)), lambda x: x[n])
+        if m in ("a", "b"):
+            return F.greatest(F.array_max(before), n) if m == "a" else F.least(F.array_min(before), n)
+        return F.aggregate(before, F.coalesce(F.col(n), F.lit(0).cast(run.schema[n].dataType)), lambda s, y: s + F.coalesce(y, F.lit(0)))
+
+    whole = {m: all_of(m, n) for m, n in names.items()}
+    out = {"count": lambda w: w["n"], "exists": lambda w: w["n"] > 0, "sum": lambda w: w["s"], "mean": lambda w: F.try_divide(w["s"], w["n"]), "max": lambda w: w["a"], "min": lambda w: w["b"]}[op](whole)
+    made = run.select(key, out.alias(name := fresh("agg")))
+    outer.join(made, [(beyond.outer, key, False)])
+    zero = {"count": F.lit(0).cast("bigint"), "exists": F.lit(False), "sum": _total(val.type)}.get(op)
+    kinds = {"count": LONG, "exists": BOOL, "sum": DOUBLE if isinstance(val.type, T.FractionalType) else LONG, "mean": DOUBLE}
+    col = F.col(name) if zero is None else F.coalesce(F.col(name), zero)
+    return One(col, kinds.get(op, val.type), zero is None)
+
+
 def _aggregated(name: str, zero: Column | None, out: One, some: bool, flow: Flow, label: str | None) -> One:
     """The value of an aggregate's column."""
     col = F.col(name)
@@ -888,8 +970,9 @@ def _ands(q: Query) -> list[Query]:
 
 
 def filtered(q: Query, flow: Flow, source: Any) -> Flow:
-    """Rows for which the predicate holds. An equality of a column of the flow and the outer row's value is a link."""
-    for part in _ands(q):
+    """Rows for which the predicate holds. An equality of a column of the flow and the outer row's value is a link; one
+    inequality is kept for an aggregate to take up."""
+    for part in sorted(_ands(q), key=lambda p: not (p.op == "lift" and p.args[0] == "==")):
         used = names_of(part) & flow.foreign
         if used and part.op == "lift" and part.args[0] == "==":
             sides = part.args[1:]
@@ -904,6 +987,9 @@ def filtered(q: Query, flow: Flow, source: Any) -> Flow:
                         frame = Frame(plain.df.withColumn(n := fresh("link"), mine.col))
                         flow = replace(plain, frame=frame, links=(*plain.links, (other.col, n, False)), some=False)
                         continue
+        if used and (found := _inequality(part, flow)) is not None:
+            flow = found
+            continue
         flow = local(flow, names_of(part))
         if (met := _met(part, flow)) is not None:
             flow = met
@@ -914,6 +1000,32 @@ def filtered(q: Query, flow: Flow, source: Any) -> Flow:
     return flow
 
 
+def _inequality(part: Query, flow: Flow) -> Flow | None:
+    """The flow with an inequality of its own column and the outer row's value, if the predicate is one."""
+    if flow.links or flow.beyond is not None or flow.group is not None or part.op != "lift" or part.args[0] not in _FLIPPED:
+        return None
+    sides = part.args[1:]
+    outer = [bool(names_of(s)) and names_of(s) <= flow.foreign for s in sides]
+    if sum(outer) != 1:
+        return None
+    theirs, ours = sides if outer[0] else sides[::-1]
+    if names_of(ours) & flow.foreign:
+        return None
+    other = evaluate(theirs, One(F.lit(True), None, fields=()), flow.ctx, flow.outer)
+    mine = evaluate(ours, flow.val, flow.ctx, flow.frame)
+    if not all(isinstance(x, One) and x.fields is None and x.root is None for x in (other, mine)):
+        return None
+    sign = _FLIPPED[part.args[0]] if outer[0] else part.args[0]
+    frame = Frame(flow.df.withColumn(n := fresh("own"), mine.col))
+
+    def over_values(f: Flow) -> Flow:
+        f = bring(f, {"_beyond": other}, f.outer)
+        value = f.ctx["_beyond"].col
+        return narrowed(f, {"<": F.col(n) < value, "<=": F.col(n) <= value, ">": F.col(n) > value, ">=": F.col(n) >= value}[sign])
+
+    return replace(flow, frame=frame, beyond=Beyond(n, sign, other.col, over_values), some=False)
+
+
 def _existence(q: Query) -> tuple[Query, bool] | None:
     """(X, whether it is wanted) of a predicate that says whether X has elements."""
     if q.op == "lift" and q.args[0] == "!":

@@ -65,12 +65,22 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose memory goes back to the system when it is done: workers wait idle beside the stages that need none."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: StructType | None = None) -> DataFrame:
     """df.mapInArrow(run), whatever its columns are called: batches have them in order as c0, c1 and so on, and run gives
     batches of these columns and of those of `more`."""
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     more = more or StructType([])
-    return plain.mapInArrow(run, StructType([*plain.schema.fields, *more.fields])).toDF(*df.columns, *more.names)
+    return plain.mapInArrow(tidy(run), StructType([*plain.schema.fields, *more.fields])).toDF(*df.columns, *more.names)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,10 +160,8 @@ def fitted(rows: DataFrame, train: Callable[[list[tuple]], Any]) -> Any:
         got = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         got.sort(key=lambda row: [(x is not None, x) for x in row])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(got))], pa.binary())], ["fitted"])
-        del got
-        release()
 
-    found = rows.repartition(1).mapInArrow(run, "fitted binary").head()
+    found = rows.repartition(1).mapInArrow(tidy(run), "fitted binary").head()
     return pickle.loads(found.fitted) if found else train([])
 
 

@@ -6,7 +6,7 @@ many documents hold does not bring them together. Candidates are verified on the
 least one of every shingle that it shares, which makes one group of many near copies without pairs of all; then all
 pairs of sets that share a shingle and are not in one group yet. Equal sets are one from the start. The sets, larger
 than the texts, are made again for candidates alone; pairs are first compared by bitmaps of parities, which differ in
-at most as many bits as the sets in shingles.
+at most as many bits as the sets in shingles, and meet only if these are close enough.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, slices, texts_of, with_nulls, written
+from .common import forget, named, slices, swept, texts_of, tidy, with_nulls, written
 from .components import components
 
 #: Words of a shingle, and the least similarity as a fraction.
@@ -28,6 +28,8 @@ SHINGLE, SIMILAR = 5, (4, 5)
 COMMON, MOST = 32, 1 << 18
 #: Words of 64 bits in a bitmap of parities.
 BITMAP = 16
+#: Pivots that a shingle has at most in a round, and rounds; any choice gives the same groups.
+PIVOTS, ROUNDS = 8, 2
 
 
 def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
@@ -70,32 +72,61 @@ def shingle_sets(docs: DataFrame, words: int, similar: tuple[int, int], common:
             yield pa.RecordBatch.from_arrays([out[c] for c in columns], columns)
 
     kinds = {"id": "long", "mark": "long", "n": "int", "grams": "array<long>", "bits": "array<long>", "firsts": "array<long>"}
-    return docs.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+    return docs.mapInArrow(tidy(run), ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
-def _similar(pairs: DataFrame, marks: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
-    """Those of the distinct pairs (a, b) of marks that are similar enough, by their whole sets."""
-    one, two = (marks.select(F.col("mark").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
-    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _able(similar: tuple[int, int]) -> Column:
+    """Whether sets a and b can be similar enough, by sizes na and nb and bitmaps ba and bb."""
+    close = F.least("na", "nb") * similar[1] >= F.greatest("na", "nb") * similar[0]
+    apart = F.bit_count(F.col("ba")[0].bitwiseXOR(F.col("bb")[0]))
+    for k in range(1, BITMAP):
+        apart += F.bit_count(F.col("ba")[k].bitwiseXOR(F.col("bb")[k]))
     # of n in both sets together, at least n * p / (p + q) are common twice: the others are the difference
-    able = apart * sum(similar) <= (F.col("na") + F.col("nb")) * (similar[1] - similar[0])
-    pairs = written(pairs.join(one, "a").join(two, "b").where(able).select("a", "b"), "candidates")
+    return close & (apart * sum(similar) <= (F.col("na") + F.col("nb")) * (similar[1] - similar[0]))
+
+
+def _similar(pairs: DataFrame, marks: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int], able: bool = False) -> DataFrame:
+    """Those of the distinct pairs (a, b) of marks that are similar enough, by their whole sets. able: the pairs are
+    known to be close enough by bitmaps."""
+    if not able:
+        one, two = (marks.select(F.col("mark").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
+        pairs = pairs.join(one, "a").join(two, "b").where(_able(similar)).select("a", "b")
+    pairs = written(pairs, "candidates")
     needed = pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).distinct()
     needed = written(marks.select("mark", "id").join(needed, "mark", "left_semi"), "needed")
     texts = docs.join(needed.select("id").distinct(), "id", "left_semi")
     some = written(shingle_sets(texts, words, similar, np.zeros(0, np.int64), ["mark", "n", "grams"]), "candidate-sets")
+    # rows of one id or of one set: one of them will do
+    some = some.join(needed.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
     one, two = (some.select(F.col("mark").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}")) for x in "ab")
     both = F.size(F.array_intersect("ga", "gb"))
     near = written(pairs.join(one, "a").join(two, "b").where(both * sum(similar) >= (F.col("na") + F.col("nb")) * similar[0]).select("a", "b"), "similar")
-    forget(some)
+    for done in (some, needed, pairs):
+        forget(done)
+    swept(docs.sparkSession)
     return near
 
 
+def _pivots(placed: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs (a, b) of placed (g, mark, c): each mark with a few pivots of its shingles that are not in its group. A
+    shingle's pivots are the marks of the least hashes of some classes, found by partial sums; they are written, so
+    that the join back holds no aggregate and a very common shingle can be split."""
+    h = F.xxhash64(F.lit(turn), "mark")
+    of = [F.pmod(h, F.lit(PIVOTS)) == k for k in range(PIVOTS)]
+    chosen = written(placed.groupBy("g").agg(*[F.min_by(F.when(x, F.col("mark")), F.when(x, h)).alias(f"p{k}") for k, x in enumerate(of)]), "pivots")
+    own = placed.join(chosen, "g").groupBy("mark", "c").agg(*[F.min(f"p{k}").alias(f"p{k}") for k in range(PIVOTS)])
+    pairs = own.select(F.col("mark").alias("a"), "c", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("b")).where("b <> a")
+    if found is not None:
+        other = found.select(F.col("node").alias("b"), F.col("component").alias("d"))
+        pairs = pairs.join(other, "b", "left").where(F.col("c") != F.coalesce("d", "b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(id, component) of every row with an id: component is the least id that can be reached over pairs of documents
     of that similarity. Texts without words are equal. Rows of one id are one document, whatever their texts."""
     docs = with_nulls(docs, text_column)
-    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null")
+    docs = docs.select(named(id_column).cast("long").alias("id"), named(text_column).alias("text")).where("id is not null")
     heads = written(shingle_sets(docs, words, similar, np.zeros(0, np.int64), ["id", "mark", "n", "bits", "firsts"]), "heads")
     counts = heads.select(F.explode("firsts").alias("g")).groupBy("g").count().where(F.col("count") > COMMON)
     common = np.array([r.g for r in counts.orderBy(F.desc("count"), "g").limit(MOST).collect()], np.int64)
@@ -103,34 +134,42 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     forget(heads)
     least = rows.groupBy("mark").agg(F.min("id").alias("id"))
     marks = written(rows.join(least, ["mark", "id"], "left_semi").dropDuplicates(["mark"]), "marks")
-    firsts = written(shingle_sets(docs, words, similar, common, ["mark", "n", "firsts"]).select(F.explode("firsts").alias("g"), "mark", "n"), "firsts")
-    shared = firsts.groupBy("g").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least <> most").select("g", "least")
+    firsts = written(shingle_sets(docs, words, similar, common, ["mark", "firsts"]).select(F.explode("firsts").alias("g"), "mark"), "firsts")
     # written, so that the join back holds no aggregate and a very common shingle can be split
-    shared = written(shared, "shared-shingles")
+    shared = written(firsts.groupBy("g").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("g"), "shared-shingles")
     members = written(firsts.join(shared, "g").distinct(), "members")
     forget(firsts)
-    size = marks.select(F.col("mark").alias("least"), F.col("n").alias("m"))
-
-    def close(a: str, b: str):
-        return F.least(a, b) * similar[1] >= F.greatest(a, b) * similar[0]
+    forget(shared)
+    swept(docs.sparkSession)
 
-    stars = members.where("mark <> least").select("mark", "n", "least").distinct().join(size, "least").where(close("n", "m"))
-    near = _similar(stars.select(F.col("mark").alias("a"), F.col("least").alias("b")), marks, docs, words, similar)
+    # rows of one id are one document
     twice = rows.groupBy("id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("id", "low")
-    near = near.unionByName(rows.join(twice, "id").select(F.col("mark").alias("a"), F.col("low").alias("b")))
-    found = written(components(near, "a", "b"), "star-groups")
-
-    # pairs of sets that share a shingle and are in different groups so far
-    placed = members.select("g", "mark", "n").join(found, members["mark"] == found["node"], "left").select("g", "mark", "n", F.coalesce("component", "mark").alias("c"))
-    placed = written(placed, "placed")
-    apart = written(placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("g"), "apart")
-    left = placed.join(apart, "g", "left_semi")
-    other = left.select("g", F.col("mark").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    pairs = left.withColumnRenamed("mark", "a").join(other, "g").where((F.col("a") > F.col("b")) & (F.col("c") != F.col("d")) & close("n", "m"))
-    more = _similar(pairs.select("a", "b").distinct(), marks, docs, words, similar)
-    links = more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    final = written(components(links, "a", "b"), "groups")
+    links = rows.join(twice, "id").select(F.col("mark").alias("a"), F.col("low").alias("b"))
+    found, left = None, members.withColumn("c", F.col("mark"))
+    for turn in range(ROUNDS):
+        links = links.unionByName(_similar(_pivots(left, found, turn), marks, docs, words, similar))
+        found = written(components(links, "a", "b"), "groups-so-far")
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        # what is left: sets that share a shingle with one of another group
+        placed = members.join(found, members["mark"] == found["node"], "left").select("g", "mark", F.coalesce("component", "mark").alias("c"))
+        placed = written(placed, "placed")
+        apart = written(placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("g"), "apart")
+        left = written(placed.join(apart, "g", "left_semi"), "left")
+        for done in (placed, apart):
+            forget(done)
+        swept(docs.sparkSession)
+        if left.isEmpty():
+            break
+
+    # all pairs of those that can be similar enough; the conditions hold in the join, so that no others come out of it
+    left = left.join(marks.select("mark", "n", "bits"), "mark")
+    one, two = (left.select("g", F.col("mark").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
+    pairs = one.join(two, (one["g"] == two["g"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _able(similar))
+    more = _similar(pairs.select("a", "b").distinct(), marks, docs, words, similar, able=True)
+    final = written(components(links.unionByName(more), "a", "b"), "groups")
     out = rows.select("id", "mark").join(final, rows["mark"] == final["node"], "left").select("id", F.coalesce("component", "mark").alias("c"))
     out = written(out, "placed-ids")
     least = written(out.groupBy("c").agg(F.min("id").alias("component")), "least-ids")
+    for done in (rows, marks, members, final):
+        forget(done)
     return out.join(least, "c").select("id", "component")

@@ -53,3 +53,23 @@ def test_few_rows(spark):
     assert [(r["rank"], r.vec_id) for r in neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
     assert neighbours.nearest(df.where("vec_id = 0"), F.lit(True)).count() == 0
+
+
+def test_each_size_is_searched_among_its_own(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(30)] + [(100 + i, [1.0, float(i % 7), 2.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = neighbours.nearest(df, F.col("vec_id") % 20 == 0, 5).collect()
+    want = brute(rows[:30], [0, 20], 5) | brute(rows[30:], [100, 120], 5)
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in out} == {(q, k + 1, i, s) for q, own in want.items() for k, (i, s) in enumerate(own)}
+
+
+def test_one_very_common_vector(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 16))
+    x[::3] = x[0]
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = neighbours.nearest(df, F.col("vec_id") % 300 == 0, 10, block_rows=1000).collect()
+    for q in range(0, 6000, 300):  # of that vector all: the least ids
+        own = [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q]
+        assert own == [i for i in range(0, 60, 3) if i != q][:10]

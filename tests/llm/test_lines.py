@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from weft.llm import lines
@@ -55,6 +57,29 @@ def test_against_brute_force(spark):
         assert lines.dedup_lines(df).columns == df.columns
 
 
+def test_long_lines(spark):
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdef gé"), 1_000_000))
+    edits = [long, long[:700_001] + "z" + long[700_001:], long[:3] + "zz" + long[3:], long[:999_000] + long[999_001:], long[1:], long[:500_000] + "Z" + long[500_001:]]
+    df = spark.createDataFrame(list(enumerate(edits)), "doc_id long, text string").repartition(3)
+    began = time.time()
+    assert {r.id for r in lines.dropped_lines(df).collect()} == {1, 3, 4, 5}
+    assert time.time() - began < 60
+
+
+def test_rests_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(lines, "REST_CHARS", 3)
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.id, r.pos) for r in lines.dropped_lines(df).collect()} == brute(rows)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "the same line of it", 2, 3, 4), (2, "the same line of it", 5, 6, 7)], ["doc_id", "text", "text.x", "a`b", "gone"])
+    out = lines.dedup_lines(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1, "the same line of it", 2, 3, 4), (2, "", 5, 6, 7)]
+
+
 def test_repeated_rows_and_empty_tables(spark):
     rows = [(1, "the same line of it"), (1, "the same line of it"), (1, "other\nthe same line of it"), (0, "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -5,8 +5,9 @@ makes one the other. A line goes when any earlier line (by document id, then by
 
 Candidates first. One edit leaves a half of a line as it is: of two near lines, the longer one of M characters, either
 the first or the last ceil((M - 1) / 2) characters are common. Distinct lines are put under a key for each such half;
-lines alone under all their keys are done. Then the deletion neighbourhood: each line that is left emits, for each
-shared half, the hashed rest of it as it is and with each character deleted. Equal variants with the same place deleted
+lines alone under all their keys are done. The rest beside a shared half is halved again in the same way while it is
+long, so that the work goes with the length of a line and not with its square. Then the deletion neighbourhood: each
+line that is left emits, for each shared part, the hashed rest of it as it is and with each character deleted. Equal variants with the same place deleted
 differ in that character at most; a rest as it is equals a variant of a line that is one character longer. Among such
 lines all but the earliest go, so that a group is reduced to its least line and no list of pairs is made. The edit
 distance is then verified on the texts.
@@ -17,16 +18,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_nulls, written
+from .common import forget, named, table, with_nulls, written
 
 #: Shorter lines go only with an equal earlier one: one edit is too much of them.
 FUZZY_CHARS = 20
+#: Characters of a rest that variants are made of; a longer one is halved again.
+REST_CHARS = 256
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, text, t): t tells apart the texts of rows that have one id."""
     docs = with_nulls(docs, text_column)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    rows = docs.select(named(id_column).cast("long").alias("id"), named(text_column).alias("text"))
     return rows.withColumn("t", F.xxhash64("text"))
 
 
@@ -43,6 +46,43 @@ def _halves(n: str, line: str) -> list:
     return out
 
 
+def _one_edit(a: str, b: str) -> str:
+    """Whether one edit at most makes a of b. Spark's levenshtein() takes time that goes with the square of the length,
+    bound or not; so for long lines the end of the common beginning is searched by halves, and what follows compared."""
+    mid = "cast((s.lo + s.hi + 1) div 2 as int)"
+    step = f"if(s.lo >= s.hi, s, if(left({a}, {mid}) = left({b}, {mid}), struct({mid} as lo, s.hi as hi), struct(s.lo as lo, {mid} - 1 as hi)))"
+    start = f"struct(0 as lo, least(length({a}), length({b})) as hi)"
+    common = f"aggregate(sequence(0, cast(log2(length({a}) + 1) as int) + 1), {start}, (s, i) -> {step}, s -> s.lo)"
+    rest = f"substring({a}, {common} + 1 + int(length({a}) >= length({b}))) = substring({b}, {common} + 1 + int(length({b}) >= length({a})))"
+    return f"if(length({a}) <= {REST_CHARS}, levenshtein({a}, {b}, 1) between 0 and 1, abs(length({a}) - length({b})) <= 1 and {rest})"
+
+
+def _narrowed(part: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """part (first, key, rest, longer), where rests over REST_CHARS are halved, under keys of more of the line, until
+    they are short; and the tables that were written for it. Each time only rests under a key that another line has too
+    go on."""
+    made = []
+    # by the length of the longer of two lines, so that both are halved as often
+    done, long = [], f"length(rest) + int(not longer) > {REST_CHARS}"
+    while True:
+        part = written(part, "rests")
+        made.append(part)
+        done.append(part.where(f"not {long}"))
+        part = part.where(long)
+        if part.isEmpty():
+            break
+        # of the longer of two lines the rest has M characters; half of it is common on one side
+        part = part.withColumn("n", F.length("rest")).withColumn("half", F.expr("cast(if(longer, n, n + 1) div 2 as int)"))
+        sides = "named_struct('key', xxhash64(key, 0, substring(rest, 1, half)), 'rest', substring(rest, half + 1)), named_struct('key', xxhash64(key, 1, substring(rest, n - half + 1)), 'rest', substring(rest, 1, n - half))"
+        part = part.select("first", F.explode(F.expr(f"array({sides})")).alias("x"), "longer").select("first", "x.key", "x.rest", "longer")
+        shared = part.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select("key")
+        part = part.join(shared, "key", "left_semi").select("first", "key", "rest", "longer")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out, made
+
+
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
     """(id, t, pos): the lines that an earlier line is near to; t is xxhash64 of the row's text, pos counts all lines of
     the text from 0. Earlier: by id, then pos, then t. Blank lines never go. Rows without an id take no part. Rows
@@ -54,14 +94,16 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     seen = lines.select(F.struct("id", "pos", "t").alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.expr(keys).alias("keys"))
     seen = written(seen, "lines")
 
-    # equal lines: the place of the first one
-    repeats = seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").select("h1", "h2", "first")
+    # distinct lines, each with the place of the first one
+    keys = [F.first(F.col("keys")[k]).alias(f"k{k}") for k in range(4)]
+    distinct = written(seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first"), *keys), "distinct-lines")
+    repeats = distinct.where("n > 1").select("h1", "h2", "first")
 
-    # distinct lines that share a half with another, and those halves
-    under = seen.select("h1", F.explode("keys").alias("key"))
+    # those that share a half with another, and those halves
+    under = distinct.where("k0 is not null").select("h1", "h2", "first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     shared = written(under.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key"), "shared-halves")
-    left = seen.select("h1", "h2", "at", F.explode("keys").alias("key")).join(shared, "key")
-    left = left.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.collect_set("key").alias("shared"))  # four keys at most
+    left = under.join(shared, "key")
+    left = left.groupBy("h1", "h2", "first").agg(F.collect_set("key").alias("shared"))  # four keys at most
     left = left.select("h1", "h2", "first", "shared", F.col("first.id").alias("lid"), F.col("first.t").alias("lt"))
     line = F.expr("split(text, '\\n')[first.pos]")
     texts = rows.join(left, (F.col("id") == F.col("lid")) & (F.col("t") == F.col("lt"))).select("h1", "h2", "first", "shared", line.alias("line"))
@@ -69,7 +111,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     # the deletion neighbourhood of the rest beside each shared half; place 0 is the rest as it is
     part = texts.select("first", "shared", F.explode(F.expr(f"array({', '.join(halves)})")).alias("half"))
-    part = part.where("array_contains(shared, half.key)").select("first", "half.*")
+    part, rests = _narrowed(part.where("array_contains(shared, half.key)").select("first", "half.key", "half.rest", "half.longer"))
     variants = "transform(sequence(1, length(rest)), i -> struct(i as place, xxhash64(key, concat(substring(rest, 1, i - 1), substring(rest, i + 1))) as v))"
     variant = F.explode(F.expr(f"if(longer, {variants}, array(struct(0 as place, xxhash64(key, rest) as v)))"))
     emitted = part.select("first", variant.alias("x")).select("first", "x.*")
@@ -86,11 +128,13 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     pairs = pairs.select(F.greatest("first", "other").alias("first"), F.least("first", "other").alias("other")).distinct()
     later = texts.select("h1", "h2", "first", F.col("line").alias("line"))
     earlier = texts.select(F.col("first").alias("other"), F.col("line").alias("model"))
-    near = pairs.join(later, "first").join(earlier, "other").where("levenshtein(line, model, 1) between 0 and 1")
+    near = pairs.join(later, "first").join(earlier, "other").where(_one_edit("line", "model"))
     near = near.select("h1", "h2", F.col("other").alias("first"))
 
     # written, so that the join is not bound to the aggregate's partitions and a very common line can be split
     goes = written(repeats.unionByName(near).groupBy("h1", "h2").agg(F.min("first").alias("least")), "line-drops")
+    for over in (distinct, shared, texts, equal, *rests):
+        forget(over)
     return seen.join(goes, ["h1", "h2"]).where("at > least").select("at.id", "at.t", "at.pos").distinct()
 
 
@@ -103,19 +147,25 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     All rows stay, with an empty text where every line went."""
     docs = with_nulls(docs, text_column)
     gone = _by_row(dropped_lines(docs, id_column, text_column, fuzzy_chars))
-    joined = docs.join(gone, (docs[id_column].cast("long") == gone["gone_id"]) & (F.xxhash64(docs[text_column]) == gone["gone_t"]), "left")
+    names = docs.columns
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])  # no name gets in the way
+    own, text = F.col(f"c{names.index(id_column)}"), F.col(f"c{names.index(text_column)}")
+    joined = docs.join(gone, (own.cast("long") == gone["gone_id"]) & (F.xxhash64(text) == gone["gone_t"]), "left")
     places = gone["gone"]
-    parts = F.split(docs[text_column], "\n")
+    parts = F.split(text, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), places)
-    text = F.when(places.isNull(), docs[text_column]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    out = [text.alias(c) if c == text_column else docs[c] for c in docs.columns]
-    if "n_chars" in docs.columns and text_column != "n_chars":
-        kind = docs.schema["n_chars"].dataType
-        out[docs.columns.index("n_chars")] = F.when(places.isNull(), docs["n_chars"]).otherwise(F.length(text).cast(kind)).alias("n_chars")
+    left = F.when(places.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    out = [left.alias(c) if c == text_column else docs[f"c{k}"].alias(c) for k, c in enumerate(names)]
+    if "n_chars" in names and text_column != "n_chars":
+        at = names.index("n_chars")
+        out[at] = F.when(places.isNull(), docs[f"c{at}"]).otherwise(F.length(left).cast(docs.schema[at].dataType)).alias("n_chars")
     return joined.select(*out)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, its lines that are not blank, how many of them go, and the places of those. Null
+    and empty texts have none; in rows without an id nothing goes; rows equal in id and text are one and go together;
+    no rows give no rows. Other columns play no part."""
     docs = table(spark, sf_dir, "documents")
     rows = _rows(docs, "doc_id", "text").select("id", "t", F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))), F.lit(0)).cast("long").alias("n_lines"))
     gone = _by_row(dropped_lines(docs))
@@ -156,4 +206,5 @@ group by d.doc_id
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with what is left of their texts (see dedup_lines()); all rows and columns stay, whatever they are called."""
     return dedup_lines(docs)

@@ -74,6 +74,7 @@ QUERIES: dict[str, tuple[str | Query, str]] = {
     "count_unique": ("{n => count(unique(lineitem.l_partkey)), m => count(part.p_brand.unique())}", "select (select count(distinct l_partkey) from lineitem)::bigint as n, (select count(distinct p_brand) from part)::bigint as m"),
     "sort_take": ("orders.sort(o_totalprice, o_orderkey).take(10){o_orderkey, o_totalprice}", "select o_orderkey, o_totalprice from orders order by o_totalprice, o_orderkey limit 10"),
     "sort_desc_take": ("orders.sort(desc(o_totalprice), o_orderkey).take(10).o_orderkey", "select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 10"),
+    "sort_desc_text": ("part.sort(desc(p_name), p_partkey).take(20){p_partkey, p_name}", "select p_partkey, p_name from part order by p_name desc, p_partkey limit 20"),
     "take_neg": ("nation.take(-20).n_name", "select n_name from nation order by n_nationkey limit 5"),
     "drop": ("nation.drop(20).n_name", "select n_name from nation order by n_nationkey offset 20"),
     "drop_neg": ("nation.drop(-3).n_name", "select n_name from nation order by n_nationkey offset 22"),

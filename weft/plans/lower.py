@@ -1221,13 +1221,17 @@ class _RootRecord:
 
 
 def _falling(flow: Flow, name: str) -> Column:
-    """A column whose rising order is the falling one of a number or time."""
+    """A column whose rising order is the falling one of a number, time, truth value or text."""
     kind = flow.df.schema[name].dataType
     if isinstance(kind, T.NumericType):
         return -F.col(name)
     if isinstance(kind, (T.TimestampType, T.DateType)):
         return -F.unix_micros(F.col(name).cast("timestamp"))
-    raise QueryError("a falling order is for numbers and times")
+    if isinstance(kind, T.BooleanType):
+        return -F.col(name).cast("int")
+    if isinstance(kind, T.StringType):  # by code points; of two texts that begin alike the longer one comes first
+        return F.concat(F.transform(F.split(F.col(name), ""), lambda c: -F.ascii(c)), F.array(F.lit(1)))
+    raise QueryError("a falling order is for numbers, times, truth values and texts")
 
 
 def grouped(keys: tuple, flow: Flow) -> Flow:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import least, named, table, written
+from .common import least, named, table, tidy, written
 
 #: Rows of a block at most, about; blocks there are at least, if each has LEAST_ROWS. Queries of a part, and partitions.
 BLOCK_ROWS, LEAST_BLOCKS, LEAST_ROWS = 1 << 14, 16, 1 << 12
@@ -175,7 +175,7 @@ def _probed(rows: DataFrame, plans: dict[int, Plan], k: int) -> None:
             probe, place = np.nonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(probe), size, np.int32)), pa.array(probe), pa.array(place), pa.array(own[probe, place])], ["size", "probe", "bin", "n"])
 
-    bins = rows.select("size", "vector").mapInArrow(run, "size int, probe long, bin long, n long").groupBy("size", "probe", "bin").agg(F.sum("n").alias("n"))
+    bins = rows.select("size", "vector").mapInArrow(tidy(run), "size int, probe long, bin long, n long").groupBy("size", "probe", "bin").agg(F.sum("n").alias("n"))
     sums = {size: np.zeros((len(u), BINS), np.int64) for size, u in units.items()}
     for r in bins.collect():
         sums[r["size"]][r.probe, r.bin] = r.n
@@ -271,7 +271,7 @@ def nearest(vectors: DataFrame, query, k: int = 20, id_column: str = "vec_id", v
         both = data.unionByName(queries).withColumn("cell", (of("cell") + F.col("block") * of("parts") + F.col("part")).cast("long"))
         dealt = both.withColumn("tie", F.xxhash64("vector")).repartitionById(partitions, F.pmod("cell", F.lit(partitions)).cast("int"))
         dealt = dealt.sortWithinPartitions("cell", "kind", "id", "tie").select("cell", "kind", "size", "id", "vector")
-        step = dealt.mapInArrow(lambda batches, n=round_: _cells(batches, plans, k, n), "query_id long, vec_id long, score double")
+        step = dealt.mapInArrow(tidy(lambda batches, n=round_: _cells(batches, plans, k, n)), "query_id long, vec_id long, score double")
         if round_ == 2:
             found.append(step)
             break

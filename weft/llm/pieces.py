@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import map_rows, named, slices, table, texts_of, with_nulls
+from .common import map_rows, named, slices, table, texts_of, tidy, with_nulls
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Entries of a worker's table; when it is full it begins anew.
@@ -117,7 +117,7 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     docs = with_nulls(docs, text_column)
     rows = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, slices, table, texts_of, with_nulls, written
+from .common import named, slices, table, texts_of, tidy, with_nulls, written
 from .components import components
 from .jaccard import groups
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     docs = with_nulls(docs, text_column)
-    return docs.select(named(id_column).cast("long").alias("id"), named(text_column).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(named(id_column).cast("long").alias("id"), named(text_column).alias("text")).mapInArrow(tidy(run), "id long, fp long")
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -226,7 +226,7 @@ def near_links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
         pair = F.xxhash64("key", F.least("own", F.col("other").cast("long")), F.greatest("own", F.col("other").cast("long")))
         buckets = buckets.select(F.when(F.col("n") == 1, F.col("key")).otherwise(pair).alias("key"), "fp", "id")
     dealt = buckets.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(lambda batches: _links(batches, radius), "a long, b long")
+    return dealt.mapInArrow(tidy(lambda batches: _links(batches, radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:

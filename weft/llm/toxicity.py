@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FIT_BYTES, fitted, forget, held_out, least, map_rows, named, slices, table, texts_of, with_nulls, written
+from .common import FIT_BYTES, fitted, forget, held_out, least, map_rows, named, slices, table, texts_of, tidy, with_nulls, written
 from .words import Words, hash64
 
 #: Labelled documents that the field is fitted to at most, toxic and clean: those of the least hashes of the ids. The
@@ -215,6 +215,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         return model
     take = np.r_[np.flatnonzero(hits), rng.permutation(plain)[: 3 * hits.sum() + 2000]]
     _fit_field(model, buckets, numbers, marked, begins[take], lengths[take])
+    del words, buckets, ends, numbers, owner, own, fresh, marked, explained, begins, lengths, hits, plain, take, uses, clean, bad, at, evidence
 
     # documents: the score is fitted to their labels
     found = Words(model.describe)
@@ -310,7 +311,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
     docs = with_nulls(docs, text_column)
     rows = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start: long, end: long, p: double>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double, predicted int, spans array<struct<start: long, end: long, p: double>>")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,12 @@ from tokenizers import Tokenizer
 
 from weft.llm import token_counts
 
-TEXTS = ["one line", "two lines\nof it\n", "", "\n\n\n", "é漢\U0001f600\nünder  the\r\n x", "don't\n\nstop", "a" * 300 + "\nb", "end "]
+TEXTS = ["one line", "two lines\nof it\n", "", "\n\n\n", "é漢\U0001f600\nünder  the\r\n x", "don't\n\nstop", "a" * 300 + "\nb", "end ", "mid<|endoftext|>\n<|endoftext|> x\n"]
 
 
 @pytest.fixture(scope="module")
 def whole():
     out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    out.encode_special_tokens = True
     return out
 
 

@@ -19,18 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of, with_nulls
+from .common import named, slices, table, texts_of, tidy, with_nulls
 from .token_files import VOCABULARY, chunks
 
 RULES = ("first", "most")
 
 
 def token_bytes(vocabulary: str = VOCABULARY) -> np.ndarray:
-    """Bytes of each id: a byte-level vocabulary writes each byte as one character."""
-    pieces = chunks(vocabulary).library.get_vocab()
+    """Bytes of each id: a byte-level vocabulary writes each byte as one character; added tokens are plain text."""
+    own = chunks(vocabulary)
+    pieces = own.library.get_vocab()
     out = np.zeros(max(pieces.values()) + 1, np.int64)
     for piece, i in pieces.items():
-        out[i] = len(piece)
+        out[i] = len(piece.encode()) if piece in own.added else len(piece)
     return out
 
 
@@ -50,15 +51,22 @@ def allocate(starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.nda
     out = owner[first]
     several = np.flatnonzero(first != last)
     crossing = np.zeros(len(starts), bool)
-    for t in several.tolist():
-        parts = range(int(first[t]), int(last[t]) + 1)
-        edges = [starts[t], *cuts[first[t] + 1 : last[t] + 1], ends[t]]
-        share: dict[int, int] = {}
-        for k, p in enumerate(parts):
-            share[int(owner[p])] = share.get(int(owner[p]), 0) + int(edges[k + 1] - edges[k])
-        if rule == "most":
-            out[t] = max(share, key=lambda s: share[s])
-        crossing[t] = len(share) > 1
+    if not len(several):
+        return out, crossing
+    # the tokens over more than one cut, part by part: (token, section, bytes)
+    parts = (last - first)[several] + 1
+    token = np.repeat(np.arange(len(several)), parts)
+    place = first[several][token] + np.arange(parts.sum()) - np.repeat(np.cumsum(np.r_[0, parts[:-1]]), parts)
+    after = np.r_[cuts[1:], np.iinfo(np.int64).max]
+    held = np.minimum(after[place], ends[several][token]) - np.maximum(cuts[place], starts[several][token])
+    order = np.lexsort((place, owner[place], token))
+    token, place, held = token[order], place[order], held[order]
+    new = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (owner[place[1:]] != owner[place[:-1]])])
+    token, begin, section, held = token[new], place[new], owner[place[new]], np.add.reduceat(held, new)
+    crossing[several] = np.bincount(token, minlength=len(several)) > 1
+    if rule == "most":  # of equal shares the one that begins first
+        order = np.lexsort((begin, -held, token))
+        out[several] = section[order][np.flatnonzero(np.r_[True, np.diff(token[order]) != 0])]
     return out, crossing
 
 
@@ -109,9 +117,9 @@ def section_tokens(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if rule not in RULES:
         raise ValueError(f"no such rule: {rule}")
     docs = with_nulls(docs, text_column)
-    columns = [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")]
+    columns = [named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text")]
     if sections_column:
-        spans = F.filter(F.col(sections_column), lambda s: s["start"].isNotNull() & s["end"].isNotNull())
+        spans = F.filter(named(sections_column), lambda s: s["start"].isNotNull() & s["end"].isNotNull())
         columns.append(F.transform(spans, lambda s: F.array(s["start"].cast("long"), s["end"].cast("long"))).alias("sections"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +129,11 @@ def section_tokens(docs: DataFrame, id_column: str = "doc_id", text_column: str
             text, *rest = _count(texts_of(part, 1), sections, own, widths, rule)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), *map(pa.array, rest)], ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
 
-    return docs.select(*columns).mapInArrow(run, "doc_id long, section long, start long, end long, n_tokens long, n_crossing long")
+    return docs.select(*columns).mapInArrow(tidy(run), "doc_id long, section long, start long, end long, n_tokens long, n_crossing long")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every row of documents with their tokens: doc_id, section, start, end, n_tokens, n_crossing. A null
+    or empty text is one line without tokens; null ids and repeated rows stay; no rows give no rows. Other columns play
+    no part."""
     return section_tokens(table(spark, sf_dir, "documents"))

@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import sampled, shared_dir, slices, table, texts_of, with_nulls
+from .common import FIT_BYTES, fitted, forget, least, named, shared_dir, slices, table, texts_of, tidy, with_nulls, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 MAGIC = b"WEFTIDS1"
-#: Documents that the dictionary is trained on (those of the least hash of the id), and its size.
+#: Documents that the dictionary is trained on (those of the least hashes of the ids, FIT_BYTES of text at most), and its size.
 SAMPLE, DICTIONARY_BYTES = 500, 64 << 10
 #: Text of a shard, roughly: a shard is held in memory while it is written.
 SHARD_BYTES = 16 << 20
@@ -55,13 +55,18 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 class Chunks(dict):
     """Word after `lead` (a space, or nothing) -> ids of both, as the library gives them, packed. The tokenizer's pattern
     begins a new word at a single space, and before and after a single line end, whatever stands around, so the ids of a
-    text are those of its parts in a row. None: white space touches white space, and the pattern cuts the text instead."""
+    text are those of its parts in a row. None: white space touches white space, and the pattern cuts the text instead.
+    The vocabulary's added tokens are found in a text first, as the library finds them, and part it."""
 
     def __init__(self, vocabulary: str, entries: int = ENTRIES, lead: str = " ", library: Tokenizer | None = None):
         super().__init__()
         self.library = library or Tokenizer.from_file(vocabulary)
-        self.library.encode_special_tokens = True
         self.entries, self.lead = entries, lead
+        added = self.library.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        # else a text that holds such a token is left to the library whole
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
         self.merges, self.tails = self.library.model.tokenize, {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow 255
         hidden = sorted({*range(256)} - {*shown})
@@ -97,6 +102,17 @@ class Chunks(dict):
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian numbers of the kind that the vocabulary needs."""
+        if not text:
+            return b""
+        if self.cut.search(text):
+            if not self.plain:
+                return self._encode(text)
+            marks = [np.array([self.added[t]], self.kind).tobytes() for t in self.cut.findall(text)]
+            parts = [self._packed(t) for t in self.cut.split(text)]
+            return parts[0] + b"".join(m + p for m, p in zip(marks, parts[1:], strict=True))
+        return self._packed(text)
+
+    def _packed(self, text: str) -> bytes:
         if not text:
             return b""
         first, *words = text.split(" ")
@@ -160,23 +176,38 @@ class Shard:
         return np.frombuffer(self.press.decompress(self.data[self.at + self.index[k] : self.at + self.index[k + 1]]), self.kind)
 
 
+def _sample(docs: DataFrame, rows: int, most_bytes: int) -> DataFrame:
+    """(h, text) of at most so many documents of docs (id, text), and so many bytes: one text, the least, of each of
+    the least hashes of the ids."""
+    docs = docs.select(F.xxhash64("id").alias("h"), "text").where("length(text) > 0")
+    keys = written(docs.select(F.lit(0).alias("g"), "h", F.octet_length("text").alias("n")), "sizes")
+    bound = least(keys, rows, most_bytes)
+    forget(keys)
+    return docs.where(F.col("h") <= bound[0] if bound else F.lit(False)).groupBy("h").agg(F.min("text").alias("text"))
+
+
 def write(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY, shard_bytes: int = SHARD_BYTES) -> bytes:
     """Writes the ids of all whole texts, id 0 after each, in ascending order of the ids, under path; gives the
-    dictionary, which is also written. Null is the empty text. A null id comes first, as the least number."""
+    dictionary, which is also written. Null is the empty text. A null id comes first, as the least number; rows of one
+    id follow each other by the hash of the text."""
     spark = docs.sparkSession
     docs = with_nulls(docs, text_column)
-    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"))
-    dictionary = train_dictionary(sampled(rows.where("length(text) > 0"), SAMPLE), vocabulary)
+    rows = docs.select(F.coalesce(named(id_column).cast("long"), F.lit(NO_ID)).alias("id"), named(text_column).alias("text"))
+    dictionary = fitted(_sample(rows, SAMPLE, FIT_BYTES), lambda some: train_dictionary([t for _, t in some], vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = chunks(vocabulary)
         width = own.kind.itemsize
         ids: list[int] = []
         packed: list[bytes] = []
-        held = 0
+        held = before = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([ids[0]], pa.int64()), pa.array([sum(map(len, packed)) // width], pa.int64()), pa.array([shard(ids, packed, width, dictionary)], pa.binary())], ["first", "tokens", "data"])
+            nonlocal before
+            tokens = sum(map(len, packed)) // width
+            before += tokens
+            columns = [pa.array([x], pa.int64()) for x in (ids[0], before - tokens, tokens)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([shard(ids, packed, width, dictionary)], pa.binary())], ["first", "before", "tokens", "data"])
 
         for part in slices(batches, 1):
             texts = texts_of(part, 1)
@@ -190,9 +221,9 @@ def write(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
             yield out()
 
     # dealt by id as plain text, before encoding: the sample that finds the ranges reads no ids of tokens
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
-    shards = dealt.mapInArrow(run, "first long, tokens long, data binary")
-    shards.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")).write.parquet(f"{path}/shards")
+    dealt = rows.withColumn("t", F.xxhash64("text")).repartitionByRange("id", "t").sortWithinPartitions("id", "t").select("id", "text")
+    shards = dealt.mapInArrow(tidy(run), "first long, before long, tokens long, data binary")
+    shards.select("*", F.spark_partition_id().alias("part")).write.parquet(f"{path}/shards")
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     return dictionary
 
@@ -202,17 +233,17 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     in any case, and left out of the rows without with_ids."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").head().dictionary)
     shards = spark.read.parquet(f"{path}/shards")
-    # a number for each shard goes to the driver and back, nothing for each document
-    totals = sorted((r.place, r.tokens) for r in shards.select("place", "tokens").collect())
+    # a number for each partition of the writer goes to the driver and back, nothing for each shard or document
+    totals = sorted((r.part, r.n) for r in shards.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
     bases = dict(zip([p for p, _ in totals], np.cumsum([0, *(n for _, n in totals)]).tolist(), strict=False))
     shared = spark.sparkContext.broadcast(bases)
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for place, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, before, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 own = Shard(data.as_py(), dictionary)
-                start = shared.value[place] + np.concatenate([[0], np.cumsum(own.counts)[:-1]])
+                start = shared.value[part] + before + np.concatenate([[0], np.cumsum(own.counts)[:-1]])
                 for at in range(0, len(own.doc_ids), 2048):
                     some = range(at, min(at + 2048, len(own.doc_ids)))
                     ids = [own.document(k).astype("<u4") for k in some]
@@ -225,10 +256,13 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
     kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return shards.select("place", "data").mapInArrow(run, kinds)
+    return shards.select("part", "before", "data").mapInArrow(tidy(run), kinds)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents, read back from its file: doc_id, start, n_tokens, ids_crc32. Null and empty texts are the
+    end id alone; null ids come first; repeated rows are documents of their own; no rows give no rows. Added tokens of
+    the vocabulary in a text are those tokens, as the library has it. Other columns play no part."""
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "documents"), path)
     return read(spark, path, with_ids=False)

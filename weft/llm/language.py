@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table, texts_of, with_nulls
+from .common import FIT_BYTES, fitted, forget, held_out, least, named, slices, table, texts_of, tidy, with_nulls, written
 from .words import Words, hash64
 
-#: Documents a language is learned from, those of the least hashes of the ids; one in five for calibration.
+#: Documents a language is learned from, those of the least hashes of the ids; one in five for calibration. The text of
+#: a language is bounded by FIT_BYTES too.
 ROWS_PER_LANGUAGE = 400
 #: Words of a training text in one sample, drawn from the whole text.
 SAMPLE_WORDS = 96
@@ -27,8 +28,6 @@ BITS, WIDTH, EPOCHS, RATE, SEED = 16, 12, 12, 2.0, 11
 #: Share of right calibration samples that the rejection level turns away.
 REJECT_SHARE = 0.01
 UNKNOWN = "und"
-#: Parts of a language in which the rows to learn from are first looked for.
-PARTS = 64
 _OTHER = re.compile(r"[^\w\n]+|[\d_]+")
 
 
@@ -178,26 +177,26 @@ def train(texts: list[str], langs: list[str], bits: int = BITS) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
+def _learn(rows: list[tuple]) -> Model:
+    """The model of rows (lang, h, text)."""
+    return train([text for _, _, text in rows], [lang for lang, _, _ in rows])
+
+
+def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rows: int = ROWS_PER_LANGUAGE, most_bytes: int = FIT_BYTES) -> Model:
     """A model of at most `rows` documents of each non-null language of `labelled`, those of the least hashes of the
-    ids. Texts without a letter teach nothing."""
+    ids, and so many bytes of text of each. Rows of one id and language teach once, by the least of their texts. Texts
+    without a letter teach nothing. Training is one task of an executor."""
     some = with_nulls(with_nulls(labelled, text_column), lang_column)
-    some = some.select(F.col(lang_column).alias("lang"), F.xxhash64(F.col(id_column)).alias("h"), F.col(text_column).alias("text"))
-    some = some.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # which rows, from the hashes alone: first within parts of a language, so that a frequent one is not one task's
-    hashes = some.select("lang", "h")
-    for parts in (F.pmod("h", F.lit(PARTS)), F.lit(0)):
-        place = F.row_number().over(Window.partitionBy("lang", parts).orderBy("h"))
-        hashes = hashes.withColumn("place", place).where(F.col("place") <= rows).drop("place")
-    bounds = hashes.groupBy("lang").agg(F.max("h").alias("most"))
-    most = {r.lang: r.most for r in bounds.collect()}
-    if not most:
-        return train([], [])
-    chosen = F.lit(False)
-    for lang, h in most.items():
-        chosen |= (F.col("lang") == lang) & (F.col("h") <= h)
-    taken = some.where(chosen).orderBy("h", "lang", "text").limit(rows * len(most)).collect()
-    return train([r.text for r in taken], [r.lang for r in taken])
+    some = some.select(named(lang_column).alias("g"), F.xxhash64(named(id_column)).alias("h"), named(text_column).alias("text"))
+    lettered = F.col("text").rlike(r"\p{L}")
+    # languages and hashes alone say which rows
+    keys = written(some.where(F.col("g").isNotNull() & lettered).select("g", "h", F.octet_length("text").alias("n")), "languages")
+    taken = F.lit(False)
+    for lang, h in least(keys, rows, most_bytes).items():
+        taken |= (F.col("g") == lang) & (F.col("h") <= h)
+    model = fitted(some.where(taken & lettered).groupBy("g", "h").agg(F.min("text").alias("text")), _learn)
+    forget(keys)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -212,11 +211,14 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
     docs = with_nulls(docs, text_column)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    rows = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text"))
+    return rows.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, held_out, lang_pred, score, rejected (see identify()). Null ids are not held out;
+    null, empty and letterless texts are und with score 0; repeated rows stay; no rows give no rows, and without a
+    known language all are und. Other columns play no part."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out("doc_id", 4, 2)))
     return identify(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")

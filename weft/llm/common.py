@@ -165,17 +165,6 @@ def fitted(rows: DataFrame, train: Callable[[list[tuple]], Any]) -> Any:
     return pickle.loads(found.fitted) if found else train([])
 
 
-def sampled(rows: DataFrame, most: int, column: str = "id", text: str = "text") -> list[str]:
-    """At most so many texts of rows, those of the least hashes of the ids. The hashes alone decide which, so that no
-    task sends more texts to the driver than are taken."""
-    hashed = rows.select(F.xxhash64(column).alias("h"), text)
-    last = hashed.select("h").orderBy("h").limit(most).agg(F.max("h").alias("h")).head().h
-    if last is None:
-        return []
-    taken = hashed.where(F.col("h") <= last).limit(2 * most).collect()  # ties of one hash are not all needed
-    return [r[1] or "" for r in sorted(taken, key=lambda r: (r[0], r[1] or ""))[:most]]
-
-
 def held_out(id_column: str, parts: int, part: int):
     """Whether crc32 of the id as text leaves this remainder; false for a null id."""
     return F.coalesce(F.crc32(named(id_column).cast("string")) % parts == part, F.lit(False))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sampled, slices, table, texts_of, with_nulls
+from .common import FIT_BYTES, fitted, forget, least, named, slices, table, texts_of, tidy, with_nulls, written
 
 KINDS = ("assign", "access", "hex", "model")
 #: The rules.
@@ -24,7 +24,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones fail
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Rows that the samples come from (least hashes of the ids), one in two of them for the threshold.
+#: Rows that the samples come from (least hashes of the ids), one in two of them for the threshold. The text of those
+#: with a rule's match, and of those without, is bounded by FIT_BYTES too.
 SAMPLE_ROWS, PLANTED = 2000, 4000
 #: Share of ordinary words of the held-out half that may pass the threshold.
 FALSE_SHARE = 0.0005
@@ -104,16 +105,31 @@ def samples(texts: list[str]) -> tuple[list[str], list[str]]:
     return list(found), list(plain)
 
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """Chains from at most `rows` documents, those of the least hashes of the ids; half of them with a rule's match
-    where there are such. Without any text, from the planted strings alone."""
-    docs = with_nulls(docs, text_column).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    hinted = docs.where(F.col("text").rlike("AKIA[A-Z0-9]{12}|[0-9a-f]{32}"))
-    texts = [t for part in (docs, hinted) for t in sampled(part, rows // 2)]
-    random, ordinary = samples(texts)
+def _learn(rows: list[tuple]) -> Model:
+    """The model of rows (hinted, h, text)."""
+    random, ordinary = samples([text for _, _, text in rows])
     return Model(random + _planted(PLANTED), ordinary)
 
 
+def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = SAMPLE_ROWS, most_bytes: int = FIT_BYTES) -> Model:
+    """Chains from at most `rows` documents, those of the least hashes of the ids; half of them with a rule's match
+    where there are such; of either half so many bytes of text. Rows of one id teach once, by the least of their texts.
+    Without any text, from the planted strings alone. Training is one task of an executor."""
+    docs = with_nulls(docs, text_column)
+    docs = docs.select(F.xxhash64(named(id_column)).alias("h"), named(text_column).alias("text")).where("length(text) > 0")
+    hint = F.col("text").rlike("AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
+    # one pass over the texts finds hints and hashes; the second takes the few that are chosen
+    keys = written(docs.select(hint.alias("g"), "h", F.octet_length("text").alias("n")), "hints")
+    bounds = least(keys, rows // 2, most_bytes)
+    taken = F.lit(False)
+    for g, h in bounds.items():
+        taken |= (F.col("h") <= h) & (F.col("g") == g)
+    some = docs.where(F.col("h") <= max(bounds.values())).withColumn("g", hint).where(taken) if bounds else docs.limit(0).withColumn("g", hint)
+    model = fitted(some.groupBy("g", "h").agg(F.min("text").alias("text")), _learn)
+    forget(keys)
+    return model
+
+
 def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<start, kind, end>>) of every row, in order of start and kind; code points, end
     exclusive. Rules' spans stay as they are; the model adds candidates that touch none of them. Null and empty texts
@@ -137,11 +153,13 @@ def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
     docs = with_nulls(docs, text_column)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<start: long, kind: string, end: long>>")
+    rows = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text"))
+    return rows.mapInArrow(tidy(run), "doc_id long, spans array<struct<start: long, kind: string, end: long>>")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, the counts by kind, base_sha256 and spans. Null and empty texts have no spans;
+    repeated rows and null ids stay; no rows give no rows. Other columns play no part."""
     docs = table(spark, sf_dir, "documents")
     found = scan(docs, fit(docs))
 

@@ -3,7 +3,7 @@
 1 toxicity: documents that the model of toxic spans rejects go.
 2 lines: of near-equal lines across all documents the earliest stays; every document stays, with what is left of it.
 3 near duplicates: of each group of documents with similar sets of five-word shingles (Jaccard 0.8 and more), the one of
-  the least id stays.
+  the least id stays. SimHash fingerprints make candidates that these sets verify; what lies further apart is found exactly.
 4 decontamination: documents that hold a benchmark passage go.
 5 pieces: the texts as SentencePiece ids.
 

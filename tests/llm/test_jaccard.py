@@ -60,6 +60,42 @@ def test_stage_removes_copies_beyond_the_radius_of_op7(spark):
     assert {r.doc_id for r in simhash.stage(spark, df, "").collect()} == set(range(20))
 
 
+def test_stage_finds_copies_by_simhash_and_verifies_them(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(20):  # a copy with one word of 400 replaced, and an equal one
+        words = [str(w) for w in rng.integers(0, 10**6, 400)]
+        rows += [(k, " ".join(words)), (100 + k, " ".join([*words[:200], "x", *words[201:]])), (200 + k, " ".join(words).upper())]
+    phrase = "again and again the very same words " * 60  # repeats weigh in a fingerprint, not in a set
+    rows += [(300 + k, phrase + " ".join(str(w) for w in rng.integers(0, 10**6, 12))) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    apart = [((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() for a, b in [*((3 * k, 3 * k + 1) for k in range(20)), (60, 61)]]
+    assert max(apart) <= simhash.CANDIDATES
+
+    def nothing_left(*args):
+        left = {r.mark for r in args[0].collect()}
+        own = {r.mark for r in jaccard.shingle_sets(df.toDF("id", "text").where("id >= 300"), 5, (4, 5), np.zeros(0, np.int64), ["mark"]).collect()}
+        assert left <= own
+        return pivots(*args)
+
+    pivots = jaccard._pivots
+    monkeypatch.setattr(jaccard, "_pivots", nothing_left)
+    assert {r.doc_id for r in simhash.stage(spark, df, "").collect()} == {*range(20), 300, 301, 302}
+
+
+@pytest.mark.parametrize("classes", ["one of all", "by chance", "none"])
+def test_groups_do_not_depend_on_the_classes(spark, tmp_path, classes):
+    rows = [*corpus(), (5, corpus()[9][1])]
+    ids = sorted({i for i, _ in rows if i is not None})
+    rng = np.random.default_rng(6)
+    near = [(i, {"one of all": 0, "by chance": int(rng.choice(ids[: ids.index(i) + 1])), "none": i}[classes]) for i in ids]
+    spark.createDataFrame([*near, (None, None)], "doc_id long, component_id long").write.parquet(f"{tmp_path}/near")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = {(r.id, r.component) for r in jaccard.groups(df).collect()}
+    assert {(r.id, r.component) for r in jaccard.groups(df, near=spark.read.parquet(f"{tmp_path}/near")).collect()} == alone
+
+
 def test_rows_of_one_id_and_empty_tables(spark):
     rows = [(5, "x y z"), (5, "other words stand here"), (9, "other words stand here"), (None, "x y z")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

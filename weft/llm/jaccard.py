@@ -2,11 +2,12 @@
 
 A common global order of shingles makes candidates: of two sets that are similar enough, the first few of each (a fifth
 and one more, at four fifths) have a shingle in common. Common shingles come last in that order, so that text which
-many documents hold does not bring them together. Candidates are verified on the whole sets: first each set with the
-least one of every shingle that it shares, which makes one group of many near copies without pairs of all; then all
-pairs of sets that share a shingle and are not in one group yet. Equal sets are one from the start. The sets, larger
-than the texts, are made again for candidates alone; pairs are first compared by bitmaps of parities, which differ in
-at most as many bits as the sets in shingles, and meet only if these are close enough.
+many documents hold does not bring them together. Candidates are verified on the whole sets: first what another method
+proposes (SimHash, in the pipeline); then each set with the least one of every shingle that it shares, which makes one
+group of many near copies without pairs of all; then all pairs of sets that share a shingle and are not in one group
+yet. Equal sets are one from the start. The sets, larger than the texts, are made again for candidates alone; pairs are
+first compared by bitmaps of parities, which differ in at most as many bits as the sets in shingles, and meet only if
+these are close enough.
 """
 
 from __future__ import annotations
@@ -122,9 +123,29 @@ def _pivots(placed: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def _proposed(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of marks: each document of near (doc_id, component_id) with the one that its class is named after.
+    Equal sets are one before the second join, in which the name of a large class is common."""
+    own = rows.groupBy("id").agg(F.min("mark").alias("mark"))
+    moved = near.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), F.col("component_id").alias("name"))
+    classed = written(moved.join(own, "id").select(F.col("mark").alias("a"), "name").distinct(), "classed")
+    pairs = classed.join(own.select(F.col("id").alias("name"), F.col("mark").alias("b")), "name").where("a <> b")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def groups(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    words: int = SHINGLE,
+    similar: tuple[int, int] = SIMILAR,
+    near: DataFrame | None = None,
+) -> DataFrame:
     """(id, component) of every row with an id: component is the least id that can be reached over pairs of documents
-    of that similarity. Texts without words are equal. Rows of one id are one document, whatever their texts."""
+    of that similarity. Texts without words are equal. Rows of one id are one document, whatever their texts.
+
+    near: (doc_id, component_id) of classes that another method has found. They are verified before anything else, and
+    pairs are made only of what they leave apart; any classes give the same groups."""
     docs = with_nulls(docs, text_column)
     docs = docs.select(named(id_column).cast("long").alias("id"), named(text_column).alias("text")).where("id is not null")
     heads = written(shingle_sets(docs, words, similar, np.zeros(0, np.int64), ["id", "mark", "n", "bits", "firsts"]), "heads")
@@ -146,8 +167,11 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     twice = rows.groupBy("id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("id", "low")
     links = rows.join(twice, "id").select(F.col("mark").alias("a"), F.col("low").alias("b"))
     found, left = None, members.withColumn("c", F.col("mark"))
-    for turn in range(ROUNDS):
-        links = links.unionByName(_similar(_pivots(left, found, turn), marks, docs, words, similar))
+    for turn in range(0 if near is None else -1, ROUNDS):
+        pairs = _proposed(near, rows) if turn < 0 else _pivots(left, found, turn)
+        links = links.unionByName(_similar(pairs, marks, docs, words, similar))
+        if found is not None:
+            forget(left)
         found = written(components(links, "a", "b"), "groups-so-far")
         links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         # what is left: sets that share a shingle with one of another group

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, slices, table, texts_of, tidy, with_nulls, written
+from .common import forget, named, slices, table, texts_of, tidy, with_nulls, written
 from .components import components
 from .jaccard import groups
 
@@ -27,6 +27,8 @@ LANES = 1 << 16
 PLANES = 8
 #: Buckets of more fingerprints than this are dealt out as pairs of tiles, over many tasks.
 TILE = 1 << 18
+#: Differing bits of fingerprints that the pipeline's stage takes as candidates; any choice gives the same groups.
+CANDIDATES = 8
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -260,8 +262,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that another document of their group stands for: the one of the least id stays. Groups are
-    those of the similarity of five-word shingles; the digests and the radius above are the contract of op7 alone.
+    """docs without those that another document of their group stands for: the one of the least id stays. Classes of
+    fingerprints within CANDIDATES bits are verified by the similarity of five-word shingles, and similar documents that
+    lie further apart are found by prefixes; the radius of four alone is the contract of op7.
     Rows without an id stay, and so do all columns, whatever they are called."""
-    gone = written(groups(docs).where("id <> component").select(F.col("id").alias("gone_id")).distinct(), "gone")
+    near = near_duplicates(docs, radius=CANDIDATES)
+    classes = written(near.where("doc_id <> component_id").select("doc_id", "component_id").distinct(), "classes")
+    forget(near)
+    gone = written(groups(docs, near=classes).where("id <> component").select(F.col("id").alias("gone_id")).distinct(), "gone")
+    forget(classes)
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from weft import catalog
+from weft.plans.once import drifts, once
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +59,16 @@ def test_one_inequality_makes_no_pairs(spark):
     assert count(text, "CartesianProduct") == 0 and "Window" in text
     assert all("broadcast" not in x or "Inner" in x or "Cross" in x for x in re.findall(r"BroadcastNestedLoopJoin.*", text))
     assert count(text, r"\(\(?\w+#\d+ >= \w+#\d+") == 0
+
+
+def test_a_parameter_is_computed_once(spark):
+    text = plan(spark, "param_knot")
+    assert count(text, r"functions=\[avg\(") == 1 and "MergeJoin" not in text and "HashJoin" not in text and "Window" not in text
+
+
+def test_what_may_differ_when_computed_again(spark):
+    table = spark.read.parquet(f"{SF}/orders.parquet")
+    means = table.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("m"), F.max("o_totalprice").alias("top"), F.sum("o_orderkey").alias("n"))
+    assert drifts(means) and drifts(means.where("m > 5").select("top")) and drifts(table.select(F.rand()))
+    assert not drifts(table) and not drifts(means.select("o_custkey", "top", "n"))
+    assert not drifts(once(means)) and sorted(once(means.select("top")).collect()) == sorted(means.select("top").collect())

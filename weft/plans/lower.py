@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import AGGREGATES, BOOL, DOUBLE, FUNCTIONS, LONG, REGISTERED, TYPED
 from ..operators.query import Query, QueryError, as_query
+from .once import drifts, once, one_row
 from .shape import CARDS, MANY, ONE, OPT, SOME, Card, Shape, ordinal
 
 _count = itertools.count()
@@ -109,10 +110,10 @@ class Pending:
 
 class Frame:
     """Rows that columns can be added to. Aggregates of flows that are linked to them wait until the rows are read, so
-    that all of one flow are one pass over it."""
+    that all of one flow are one pass over it. single: the one row that a whole query starts from."""
 
-    def __init__(self, df: DataFrame):
-        self._df, self._pending = df, []
+    def __init__(self, df: DataFrame, single: bool = False):
+        self._df, self._pending, self.single = df, [], single
         self._numbered: dict[tuple, tuple[DataFrame, str, str, DataFrame]] = {}
         self._narrowed: list[tuple[DataFrame, DataFrame, Frame]] = []
 
@@ -123,6 +124,14 @@ class Frame:
             self._join(p.computed(), p.links)
         return self._df
 
+    def settled(self, columns: list[Column]) -> DataFrame:
+        """The rows, for a plan that reads them twice and has these columns meet: where reading may change their values,
+        the rows are written once."""
+        df = self.df
+        if drifts(df.select(*columns)):
+            self._df = once(df)
+        return self._df
+
     def join(self, other: DataFrame, on: list[tuple[Column, str, bool]]) -> None:
         """Adds the columns of a table that has at most one row for each value of its links."""
         self._df = self.df
@@ -808,10 +817,10 @@ def _running(op: str, flow: Flow, outer: Frame) -> One | None:
     the values, an aggregate runs along, and that of the ranges passed before is added. No pairs are made. None if the
     aggregate or the type is another one."""
     val, beyond = flow.val, flow.beyond
-    if op not in _RUNNING or flow.links or flow.group is not None or not isinstance(val, One) or (op not in ("count", "exists") and not isinstance(val.type, T.NumericType)):
+    if outer.single or op not in _RUNNING or flow.links or flow.group is not None or not isinstance(val, One) or (op not in ("count", "exists") and not isinstance(val.type, T.NumericType)):
         return None
     key, side, bucket = fresh("key"), fresh("side"), fresh("range")
-    values = outer.df.select(beyond.outer.alias(key))
+    values = outer.settled([beyond.outer]).select(beyond.outer.alias(key))
     kind = flow.df.schema[beyond.own].dataType
     if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType)) or values.schema[key].dataType != kind or flow.df.isStreaming or outer.df.isStreaming:
         return None
@@ -824,7 +833,10 @@ def _running(op: str, flow: Flow, outer: Frame) -> One | None:
     for c in flow.conditions:
         rows = rows.where(c)
     rows = rows.where(F.col(beyond.own).isNotNull()).select(F.col(beyond.own).alias(key), *[measures[m][0].alias(n) for m, n in names.items()])
-    cuts = rows.agg(F.percentile_approx(key, [k / RANGES for k in range(1, RANGES)]).alias(q := fresh("cuts")))
+    if drifts(rows.select(key)):
+        rows = once(rows)
+    # approximate, so they depend on the order of parts; the rows and the totals need the same ones
+    cuts = one_row(rows.agg(F.percentile_approx(key, [k / RANGES for k in range(1, RANGES)]).alias(q := fresh("cuts"))))
     falls = beyond.sign in (">", ">=")
 
     def placed(df: DataFrame) -> DataFrame:
@@ -940,7 +952,7 @@ def local(flow: Flow, names: frozenset) -> Flow:
 
 
 def bring(flow: Flow, vals: dict[str, Any], outer: Frame) -> Flow:
-    """Values of the outer frame as columns of the flow, over the distinct ones."""
+    """Values of the outer frame as columns of the flow, over the distinct ones; those of a single row need no link."""
     flow = flow.plain()
     if outer is None:
         raise QueryError("a table cannot be reached from inside an array")
@@ -953,9 +965,10 @@ def bring(flow: Flow, vals: dict[str, Any], outer: Frame) -> Flow:
         columns.append(packed_col.alias(n := fresh("given")))
         links.append((packed_col, n, True))
         own[name] = view(_closed(v), F.col(n))
-    domain = outer.df.select(*columns).distinct()
+    domain = F.broadcast(outer.df.select(*columns)) if outer.single else outer.settled(columns).select(*columns).distinct()
     on = [(F.col(new), old, nulls) for (_, new, nulls), (_, old, _) in zip(links, flow.links, strict=False)]
     df = joined(domain, flow.df, on, "inner")
+    links = () if outer.single else links
     return replace(flow, frame=Frame(df), links=tuple(links), ctx={**flow.ctx, **own}, foreign=flow.foreign - set(vals), order=flow.order, some=False)
 
 
@@ -1239,6 +1252,7 @@ def grouped(keys: tuple, flow: Flow) -> Flow:
     named, base = key_columns(keys, flow)
     own = [n for _, n, _ in flow.links]
     names = [*own, *(n for n, _ in named)]
+    base.frame.settled([F.col(n) for n in names])  # members meet their group by them
     some: list = []
     frame = Grouped(base, names, some)
     label = flow.val.label
@@ -1280,12 +1294,12 @@ def _head(flow: Flow, k: int, falling: bool) -> DataFrame:
 def _beyond(flow: Flow, k: int, falling: bool) -> DataFrame:
     """All but the first k rows, or the last. Only those k are ordered; the others are told by their place in the order
     after the k-th one, so that they stay where they are. Rows of the same place as the k-th are counted off."""
-    df = flow.df
     if not flow.order:
-        return df.offset(k)
+        return flow.df.offset(k)
     if not k:
-        return df
+        return flow.df
     order = _order(flow)
+    df = flow.frame.settled([order])
     edge = _head(flow, k, falling).groupBy(order.alias(e := fresh("edge"))).agg(F.count("*").alias(t := fresh("taken")))
     edge = edge.orderBy(F.col(e).asc() if falling else F.col(e).desc()).limit(1)
     # one row; none where there is no row at all

@@ -83,7 +83,7 @@ class Db:
         return self.query(parse(text, inner), **{n: v for n, v in params.items() if n not in inner})
 
     def query(self, q: Any, **params: Any) -> Result:
-        frame = Frame(self.spark.range(1).select())
+        frame = Frame(self.spark.range(1).select(), single=True)
         ctx: dict[str, Any] = {}
         for name, value in sorted(params.items()):
             if isinstance(value, Result):
